@@ -8,7 +8,9 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("simhash",)
+MODULES = (
+    "imatch", "sharding", "packing", "mixing", "langid", "licenses", "simhash", "toxicity", "linededup", "vectors",
+)
 
 
 def queries() -> dict:

@@ -5,8 +5,12 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -93,3 +97,36 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         raise RuntimeError(f"components not settled after {rounds} rounds")
     stars = edges.select(F.col("src").alias("node"), F.col("dst").alias("root"))
     return stars.union(stars.select(F.col("root").alias("node"), "root").distinct())
+
+
+def ranked(df: DataFrame, key: str, name: str) -> DataFrame:
+    """``df`` with ``rank``: each row's gapless number from 0 within its
+    ``key`` (a non-null integer column of few values), in partition order.
+
+    Two phases: every partition numbers its own rows and stores them, then the
+    counts per (partition, key) give each partition its start. No key's rows
+    meet in one task. The numbers are stored, so a lost executor or a second
+    reading changes nothing.
+    """
+    schema = StructType(df.schema.fields + [StructField("pid", LongType()), StructField("n", LongType())])
+    names, at = schema.fieldNames(), df.columns.index(key)
+
+    def run(batches):
+        pid, seen = TaskContext.get().partitionId(), {}
+        for batch in batches:
+            keys = batch.column(at).to_numpy(zero_copy_only=False)
+            n = np.empty(len(keys), dtype=np.int64)
+            for k in np.unique(keys).tolist():
+                own = np.flatnonzero(keys == k)
+                first = seen.get(k, 0)
+                n[own] = np.arange(first, first + len(own))
+                seen[k] = first + len(own)
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns, pa.array(np.full(len(n), pid, np.int64)), pa.array(n)], names=names
+            )
+
+    rows = stored(df.mapInArrow(run, schema), name)
+    before = Window.partitionBy(key).orderBy("pid").rowsBetween(Window.unboundedPreceding, -1)
+    starts = rows.groupBy(key, "pid").agg(F.count("*").alias("c"))
+    starts = starts.select(key, "pid", F.coalesce(F.sum("c").over(before), F.lit(0)).alias("_first"))
+    return rows.join(starts, [key, "pid"]).withColumn("rank", F.col("_first") + F.col("n")).drop("pid", "n", "_first")
