@@ -71,30 +71,28 @@ def greedy_search(x: np.ndarray, links: np.ndarray, start: int, low: float, beam
     over ``links`` from ``start`` meets: a boolean matrix. The walk expands the
     ``beam`` best rows met, then any met row within ``low``."""
     n = len(x)
+    near = x @ x.T  # a task is bounded, so each similarity is worked out once
     seen = np.full((n, n), -2.0, np.float32)
     done = np.zeros((n, n), bool)
-    seen[:, start] = x @ x[start]
-    for step in range(n):
+    seen[:, start] = near[:, start]
+    for step in range(n + beam):
         if step < beam:
             who = np.arange(n)
             at = np.where(done, -3.0, seen).argmax(axis=1)
-            ok = seen[who, at] > -2
+            ok = (seen[who, at] > -2) & ~done[who, at]
             who, at = who[ok], at[ok]
         else:
             who, at = np.nonzero((seen >= low - 1e-5) & ~done)
-            first = np.concatenate([[True], who[1:] != who[:-1]]) if len(who) else np.zeros(0, bool)
-            who, at = who[first], at[first]
         if not len(who):
+            if step < beam:
+                continue
             break
         done[who, at] = True
-        for lo in range(0, len(who), 2048):
-            q, to = who[lo : lo + 2048], links[at[lo : lo + 2048]]
-            s = np.einsum("qij,qj->qi", x[np.maximum(to, 0)], x[q])
-            s[to < 0] = -2
-            q2 = np.repeat(q, to.shape[1])
-            to2 = np.where(to < 0, start, to).ravel()
-            keep = s.ravel() > -2
-            seen[q2[keep], to2[keep]] = s.ravel()[keep]
+        for lo in range(0, len(who), 20_000):
+            to = links[at[lo : lo + 20_000]]
+            q = np.repeat(who[lo : lo + 20_000], to.shape[1])[to.ravel() >= 0]
+            to = to[to >= 0]
+            seen[q, to] = near[q, to]
     return seen >= low - 1e-5
 
 
