@@ -1,9 +1,11 @@
-"""Exact substring dedup by hashing lines (operator 9).
-
-Lines are normalised and hashed; digests are grouped globally with a partial
-aggregate on the map side, the earliest ranked occurrence is kept and the
-others are cut out of their texts. A hot line is one row of the grouped side;
-the side of its many occurrences is split by AQE's skew join.
+"""Exact substring dedup by hashing lines, sentence by sentence (operator 9).
+
+The units of a line are its sentences, short ones joined to the next, so that
+a passage inside an otherwise different line is found and an equal line has
+equal units. Units are normalised and hashed; digests are grouped globally
+with a partial aggregate on the map side, the earliest ranked occurrence is
+kept and the others are cut out of their texts. A hot unit is one row of the
+grouped side; the side of its many occurrences is split by AQE's skew join.
 """
 
 from __future__ import annotations
@@ -21,22 +23,51 @@ from .common import stored, table
 
 WORD = re.compile(r"[^\W_]+")
 LINE = re.compile(r"[^\n\r]+")
+#: a sentence with its end marks; a mark inside a word does not end one
+SENTENCE = re.compile(r"\S.*?(?:[.!?。！？]+(?=\s|$)|$)")
 _UNITS = "h1 long, h2 long, key long, doc_id long, first int, last int"
 
 
 def line_units(text: str, min_words: int) -> Iterator[tuple[int, int, bytes]]:
-    """(start, end, 16-byte digest) of each line with ``min_words`` words or
-    more; equal but for case, punctuation and white space: equal digests."""
-    for m in LINE.finditer(text):
-        words = WORD.findall(m.group().lower())
-        if len(words) >= min_words:
-            yield m.start(), m.end(), xxhash.xxh3_128_digest(" ".join(words).encode("utf-8", "surrogatepass"))
+    """(start, end, 16-byte digest) of the units of each line: sentences, those
+    of under ``min_words`` words joined to the next, or at the end of a line to
+    the one before. A line of fewer words has none. Units equal but for case,
+    punctuation and white space have equal digests."""
+    for line in LINE.finditer(text):
+        units: list[tuple[int, int, list[str]]] = []
+        start, words = -1, []
+        for m in SENTENCE.finditer(text, line.start(), line.end()):
+            start = m.start() if start < 0 else start
+            words += WORD.findall(m.group().lower())
+            if len(words) >= min_words:
+                units.append((start, m.end(), words))
+                start, words = -1, []
+        if start >= 0 and units:
+            first, _, before = units.pop()
+            units.append((first, line.end(), before + words))
+        for first, last, words in units:
+            yield first, last, xxhash.xxh3_128_digest(" ".join(words).encode("utf-8", "surrogatepass"))
+
+
+def without_spans(text: str, spans: list[tuple[int, int]]) -> str:
+    """``text`` without the ordered ranges ``spans``, the blanks after each,
+    and the line break of a line of which nothing is left."""
+    kept, end = [], 0
+    for first, last in spans:
+        kept.append(text[end:first])
+        end = last
+        while text[end : end + 1] in (" ", "\t"):
+            end += 1
+        so_far = next((k for k in reversed(kept) if k), "")
+        if not so_far or so_far[-1] in "\n\r":
+            end += 2 if text[end : end + 2] == "\r\n" else 1 if text[end : end + 1] in ("\n", "\r") else 0
+    return "".join([*kept, text[end:]])
 
 
 def repeated_lines(docs: DataFrame, min_words: int = 5) -> DataFrame:
     """(key, spans): for each text the code point ranges [first, last) of its
-    lines that occurred before, in this text or one of a smaller (doc_id, key).
-    ``docs`` has key, doc_id, text. Texts without such lines are left out."""
+    units that occurred before, in this text or one of a smaller (doc_id, key).
+    ``docs`` has key, doc_id, text. Texts without such units are left out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["h1", "h2", "key", "doc_id", "first", "last"]
@@ -61,11 +92,12 @@ def repeated_lines(docs: DataFrame, min_words: int = 5) -> DataFrame:
 
 
 def without_lines(docs: DataFrame, min_words: int = 5) -> DataFrame:
-    """``docs`` with repeated lines cut out of ``text``, plus ``removed``:
+    """``docs`` with repeated units cut out of ``text``, plus ``removed``:
     array of (first, last), ranges of code points of the original text.
 
-    The earliest occurrence, by doc_id (null last) and place, stays. The line
-    break after a cut line goes with it. Null texts stay null; empty texts and
+    Units are sentences of lines (``line_units``). The earliest occurrence, by
+    doc_id (null last) and place, stays. Blanks after a cut unit go with it, and
+    so does the break of an emptied line. Null texts stay null; empty texts and
     lines of under ``min_words`` words stay as they are. Rows of equal doc_id
     and text are one document and come out alike. Empty input gives an empty
     result. Other columns pass through; columns named ``key``, ``spans`` or
@@ -85,12 +117,7 @@ def without_lines(docs: DataFrame, min_words: int = 5) -> DataFrame:
             texts = []
             for text, spans in zip(batch.column(at).to_pylist(), batch.column(len(names)).to_pylist()):
                 if spans and text is not None:
-                    kept, end = [], 0
-                    for s in spans:
-                        kept.append(text[end : s["first"]])
-                        end = s["last"]
-                        end += 2 if text[end : end + 2] == "\r\n" else 1 if text[end : end + 1] else 0
-                    text = "".join([*kept, text[end:]])
+                    text = without_spans(text, [(x["first"], x["last"]) for x in spans])
                 texts.append(text)
             columns = list(batch.columns)
             columns[at] = pa.array(texts, pa.string())

@@ -157,6 +157,23 @@ def test_line_dedup(spark, odd):
     assert len(got) == 10 and "(4, 'one two t')" in got and got.count("(5, '')") == 2 and "(9, '')" in got
 
 
+def test_passage_inside_other_lines(spark):
+    passage = "We met the others at noon. Then all of us went home again."
+    rows = [
+        (1, f"A first line that says this much. {passage} Nothing else follows here at all."),
+        (2, f"Second opening of quite another kind, {passage.lower()} Its own end is here now.\r\nA last line of the text."),
+        (3, f"Top\n{passage}\nShort. {passage[27:]} No."),
+        (4, "Dr. No.\nNo. 5 of the list is 3.5 times as long. Yes."),
+    ]
+    out = {r.doc_id: r for r in linededup.without_lines(spark.createDataFrame(rows, "doc_id int, text string")).collect()}
+    assert out[1].text == rows[0][1] and out[4].text == rows[3][1]
+    assert out[2].text.startswith("Second opening") and "went home" not in out[2].text and "own end" in out[2].text
+    assert out[3].text == "Top\nShort. Then all of us went home again. No."
+    for r in rows:
+        cut = [tuple(x) for x in out[r[0]].removed]
+        assert linededup.without_spans(r[1], cut) == out[r[0]].text
+
+
 def test_vectors(spark):
     rng = np.random.default_rng(3)
     base = rng.normal(size=(60, 16))
