@@ -277,14 +277,20 @@ def _subtrees(keys: DataFrame, most: int, stride: int = 12) -> np.ndarray:
     return np.array(sorted(out), dtype=object).reshape(-1, 3)
 
 
-def _subtree_pairs(lows: np.ndarray, depths: np.ndarray, budget: int) -> list[tuple[int, int, int]]:
+def _subtree_pairs(lows: np.ndarray, depths: np.ndarray, budget: int, equal: int) -> list[tuple[int, int, int]]:
     """(i, j, differing bits) for the subtrees of one table whose common
-    depths differ in ``budget`` bits at most, by the same walk in pairs."""
+    depths differ in ``budget`` bits at most, and not within the first
+    ``equal`` bits. ``lows`` is sorted, so partners lie side by side."""
     out = []
+    head = lows >> np.uint64(64 - equal) if equal else np.zeros(len(lows), np.uint64)
+    ends = np.searchsorted(head, head, side="right")
     for i in range(len(lows)):
-        d = np.minimum(depths[i], depths[i:])
+        if depths[i] <= equal:
+            out.append((i, i, 0))
+            continue
+        d = np.minimum(depths[i], depths[i : ends[i]])
         drop = (64 - d).astype(np.uint64)
-        x = lows[i] ^ lows[i:]
+        x = lows[i] ^ lows[i : ends[i]]
         x = np.where(d == 0, np.uint64(0), x >> np.minimum(drop, np.uint64(63)))
         e = np.bitwise_count(x).astype(int)
         out += [(i, i + int(j), int(e[j])) for j in np.flatnonzero(e <= budget)]
@@ -292,21 +298,33 @@ def _subtree_pairs(lows: np.ndarray, depths: np.ndarray, budget: int) -> list[tu
 
 
 def trie_join(
-    classes: DataFrame, budget: int, tables: int = 1, width: int = 64, far: int | None = None, most: int = 16384
+    classes: DataFrame, budget: int, tables: int = 1, width: int = 64, far: int | None = None, most: int = 16384,
+    turns: int = 1,
 ) -> DataFrame:
     """Links (src, dst, bits) between ``classes`` (node long, sig binary) whose
     ``width``-bit keys differ in ``budget`` bits at most in one of ``tables``
     tables; table t has the bits from t * width on. ``far``: links whose whole
-    sigs differ in more bits are dropped. Each group of the join returns a
+    sigs differ in more bits are dropped.
+
+    ``turns`` > 1 walks as many tries per table, the key turned by a
+    ``turns``-th of its bits each time, and pairs subtrees only where that
+    first part is equal. With ``turns`` above ``budget`` some part of every
+    linked pair is equal, so no link is lost, and a key goes to ``turns``
+    groups however deep the tries are cut (to more only where over ``most``
+    keys share a whole part). Each group of the join returns a
     minimum spanning forest of its links (by differing bits of the sig)."""
     spark = classes.sparkSession
+    part, inside = width // turns, np.uint64((1 << 64) - (1 << (64 - width)))
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sig = np.frombuffer(b"".join(batch.column(1).to_pylist()), dtype="<u8").reshape(batch.num_rows, -1)
-            for t in range(tables):
-                at, off = divmod(t * width, 64)
+            for t in range(tables * turns):
+                at, off = divmod(t // turns * width, 64)
                 key = (sig[:, at] >> np.uint64(off)) << np.uint64(64 - width)
+                by = t % turns * part
+                if by:
+                    key = (key << np.uint64(by)) | (key >> np.uint64(width - by)) & inside
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.full(batch.num_rows, t, np.int32)), pa.array(key.view(np.int64)), *batch.columns],
                     names=["t", "key", "node", "sig"],
@@ -316,9 +334,9 @@ def trie_join(
     cut = _subtrees(keys, most)
     lows, depths, of_table = np.array(cut[:, 1], dtype=np.uint64), np.array(cut[:, 2], dtype=np.int64), cut[:, 0].astype(int)
     pairs: list[tuple[int, int, int, int]] = []  # depth, differing bits, and the two subtrees
-    where = {t: np.flatnonzero(of_table == t) for t in range(tables)}
+    where = {t: np.flatnonzero(of_table == t) for t in range(tables * turns)}
     for own in where.values():
-        for i, j, e in _subtree_pairs(lows[own], depths[own], budget):
+        for i, j, e in _subtree_pairs(lows[own], depths[own], budget, part if turns > 1 else 0):
             pairs.append((int(min(depths[own[i]], depths[own[j]])), e, int(own[i]), int(own[j])))
     member: list[list[tuple[int, int]]] = [[] for _ in range(len(cut))]
     for k, (_, _, i, j) in enumerate(pairs):
@@ -388,7 +406,7 @@ def simhash_components(docs: DataFrame, k: int = 3, budget: int = 2) -> DataFram
     sig = fingerprints(docs, k)
     rows = stored(sig.select("doc_id", "sig"), "simhash")
     classes = rows.groupBy("sig").agg(F.min("doc_id").alias("first")).select(_as_long("sig").alias("node"), "sig", "first")
-    links = trie_join(classes, budget).select("src", "dst")
+    links = trie_join(classes, budget, turns=budget + 1).select("src", "dst")
     roots = connected_components(links)
     members = classes.select("node", "first").join(roots, "node")
     least = members.groupBy("root").agg(F.min("first").alias("component_id"))

@@ -59,8 +59,9 @@ def test_nulls_ties_long_texts_and_extra_columns(spark):
     assert S.simhash_components(df.limit(0)).collect() == []
 
 
+@pytest.mark.parametrize("turned", [False, True])
 @pytest.mark.parametrize("budget,most,width", [(2, 16, 64), (3, 5, 32), (0, 40, 64)])
-def test_trie_join_finds_every_link(spark, budget, most, width):
+def test_trie_join_finds_every_link(spark, budget, most, width, turned):
     rng = np.random.default_rng(7)
     base = rng.integers(0, 2**63, 40, dtype=np.uint64)
     keys = np.concatenate([base, *[base ^ (np.uint64(1) << rng.integers(0, 64, 40, dtype=np.uint64)) for _ in range(8)]])
@@ -68,7 +69,7 @@ def test_trie_join_finds_every_link(spark, budget, most, width):
     rows = [(i, k.tobytes()) for i, k in enumerate(keys.astype("<u8"))]
     classes = spark.createDataFrame(rows, "node long, sig binary").repartition(3)
     tables = 64 // width
-    links = S.trie_join(classes, budget, tables, width, most=most)
+    links = S.trie_join(classes, budget, tables, width, most=most, turns=budget + 1 if turned else 1)
     part = [(keys >> np.uint64(t * width)) << np.uint64(64 - width) for t in range(tables)]
     root = {}
     for r in S.connected_components(links.select("src", "dst")).collect():
@@ -86,3 +87,4 @@ def test_links_of_a_large_near_copy_group_stay_a_forest(spark):
     keys = np.array([1 << i | 1 << j for i in range(64) for j in range(i)], dtype="<u8")
     classes = spark.createDataFrame([(i, k.tobytes()) for i, k in enumerate(keys)], "node long, sig binary")
     assert S.trie_join(classes, 2, most=4096).count() <= len(keys) * 4
+    assert S.trie_join(classes, 2, most=64, turns=3).count() <= len(keys) * 40
