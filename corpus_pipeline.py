@@ -14,7 +14,7 @@ from silocast.llm.langid import fit, held_out, identify
 from silocast.llm.linededup import without_lines
 from silocast.llm.mixing import cube_mix
 from silocast.llm.packing import harmonic_pack
-from silocast.llm.simhash import simhash_components
+from silocast.llm.simhash import similar_components
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -28,12 +28,14 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash component: the one with the smallest id
-    (of rows with that id, the smallest by its columns)."""
-    classes = simhash_components(docs.select("doc_id", "text"), k=5, budget=2)
-    kept = classes.where("doc_id is null or doc_id = component_id").select("doc_id").distinct()
-    rows = docs.select(*COLUMNS).join(kept, docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi")
-    return rows.dropDuplicates(["doc_id", "text"])
+    """One document of each component of near copies (Jaccard similarity 0.8
+    or more of their five-word shingles): the one with the smallest id, null
+    last, and of rows with that id one chosen by a hash of id and text."""
+    rows = docs.select(*COLUMNS).withColumn("key", F.xxhash64("doc_id", "text"))
+    rank = F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "key")
+    classes = similar_components(rows.select(F.col("doc_id").cast("long").alias("doc_id"), "key", "text"), k=5, low=0.8)
+    kept = classes.groupBy("component").agg(F.min(rank).alias("first")).select("first.key")
+    return rows.join(kept, "key", "left_semi").select(*COLUMNS).dropDuplicates(["doc_id", "text"])
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

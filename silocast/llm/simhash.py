@@ -387,6 +387,100 @@ def trie_join(
     return rows.groupBy("pair").applyInArrow(walked, "src long, dst long, bits int")
 
 
+# ------------------------------------------------- links by exact similarity
+
+#: bands of least hashes: a pair of Jaccard 0.8 shares one with probability 0.999
+BANDS, BAND_ROWS = 24, 6
+_FACTORS = np.random.default_rng(SEED).integers(0, 2**63, (2, BANDS * BAND_ROWS), dtype=np.uint64)
+
+
+def band_keys(shingles: np.ndarray) -> np.ndarray:
+    """One key per band: equal where ``BAND_ROWS`` least hashes are equal."""
+    least = np.full(BANDS * BAND_ROWS, 2**64 - 1, dtype="<u8")
+    for at in range(0, len(shingles), 4096):
+        h = shingles[at : at + 4096, None] * (_FACTORS[0] * np.uint64(2) + np.uint64(1)) + _FACTORS[1]
+        least = np.minimum(least, h.min(axis=0))
+    rows = least.reshape(BANDS, BAND_ROWS)
+    return np.array([xxhash.xxh64_intdigest(r.tobytes(), i) for i, r in enumerate(rows)], dtype=np.uint64).view(np.int64)
+
+
+def shingle_sets(docs: DataFrame, k: int) -> DataFrame:
+    """(doc_id, key, node, sig, n, bands, shingles) per row of ``docs``
+    (doc_id, key, text): the distinct ``k``-word shingles as hashes, their
+    number, their band keys, a hash of the set and the 64-bit fingerprint."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
+                out: list[list] = [[] for _ in range(5)]
+                for text in part.column(2).to_pylist():
+                    h = shingle_hashes(normalized(text), k)
+                    own = np.unique(h)
+                    row = (
+                        xxhash.xxh3_64_intdigest(own.tobytes(), SEED) - 2**63, sign_bits(h).tobytes(), len(own),
+                        band_keys(own), own.view(np.int64),
+                    )
+                    for c, x in zip(out, row):
+                        c.append(x)
+                types = (pa.int64(), pa.binary(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), part.column(1), *(pa.array(c, t) for c, t in zip(out, types))],
+                    names=["doc_id", "key", "node", "sig", "n", "bands", "shingles"],
+                )
+
+    schema = "doc_id long, key long, node long, sig binary, n int, bands array<long>, shingles array<long>"
+    return docs.select("doc_id", "key", "text").mapInArrow(run, schema)
+
+
+def similar_components(docs: DataFrame, k: int = 5, low: float = 0.8, budget: int = 2) -> DataFrame:
+    """(doc_id, key, component) per row of ``docs`` (doc_id, key, text).
+
+    Rows are linked if the Jaccard similarity of their sets of ``k``-word
+    shingles is ``low`` or more; component is equal within a component and
+    differs between two. Candidates are pairs that share a band of least hashes
+    or whose fingerprints differ in ``budget`` bits at most; every link is
+    verified on the sets. A band is first linked as a star. Then all its pairs
+    that are not yet in one component are verified, so a large group of near
+    copies is never compared pair by pair, and no pair of a band is left out.
+    Texts without words are one component. Null ids and repeated rows stay.
+    """
+    rows = stored(shingle_sets(docs, k), "shingles")
+    classes = stored(rows.dropDuplicates(["node"]).select("node", "sig", "n", "bands", "shingles"), "sets")
+    members = classes.select("node", "n", F.explode("bands").alias("band"))
+    shared = members.groupBy("band").agg(
+        F.count("*").alias("c"), F.min_by(F.struct("node", "n"), F.xxhash64("band", "node")).alias("first")
+    )
+    members = stored(members.join(shared.where("c > 1").drop("c"), "band"), "bands")
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        pairs = stored(pairs.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct(), "pairs")
+        a = classes.select(F.col("node").alias("src"), F.col("shingles").alias("a"))
+        b = classes.select(F.col("node").alias("dst"), F.col("shingles").alias("b"))
+        both = F.size(F.array_intersect("a", "b"))
+        ok = both >= F.lit(low) * (F.size("a") + F.size("b") - both)
+        return stored(pairs.join(a, "src").join(b, "dst").where(ok).select("src", "dst"), "links")
+
+    def near(m, n):  # sets of other sizes cannot reach ``low``
+        return F.least(m, n) >= F.lit(low) * F.greatest(m, n)
+
+    star = members.where((F.col("node") != F.col("first.node")) & near(F.col("n"), F.col("first.n")))
+    star = star.select(F.col("node").alias("src"), F.col("first.node").alias("dst"))
+    links = verified(star.union(trie_join(classes.select("node", "sig"), budget, turns=budget + 1).select("src", "dst")))
+    roots = stored(connected_components(links), "roots")
+    at = members.select("band", "node", "n").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    open_ = at.groupBy("band").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x < y").select("band")
+    at = stored(at.join(open_, "band"), "open")
+    x, y = at.alias("x"), at.alias("y")
+    pairs = x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.root") < F.col("y.root")) & near(F.col("x.n"), F.col("y.n")))
+    more = verified(pairs.select(F.col("x.node").alias("src"), F.col("y.node").alias("dst")))
+    if not more.isEmpty():
+        roots = connected_components(links.union(more))
+    return rows.select("doc_id", "key", "node").join(roots, "node", "left").select(
+        "doc_id", "key", F.coalesce("root", "node").alias("component")
+    )
+
+
 # ------------------------------------------------------------ the operators
 
 
