@@ -1,20 +1,24 @@
 """Licence scans by canonical digest lookup (operator 6), native.
 
 A whole text is brought to a canonical form (case, punctuation, copyright
-lines, equivalent spellings) with SQL functions and hashed; the digest is
+statements, equivalent spellings) with SQL functions and hashed; the digest is
 joined with the digests of known licence texts. The same is done for every
 line, so that a notice inside a document is found too.
 """
 
 from __future__ import annotations
 
+import json
+import re
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
 
-#: Texts of short licences and usual notices.
-KNOWN = (
+#: Usual notices and one text in a line.
+NOTICES = (
     ("MIT", "Released under the MIT License."),
     ("MIT", "This project is licensed under the MIT License."),
     ("MIT", "SPDX-License-Identifier: MIT"),
@@ -27,12 +31,97 @@ KNOWN = (
     ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
     ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."),
 )
+#: Names by which notices call a licence, without the word itself.
+NAMES = (
+    ("MIT", ("MIT",)),
+    ("ISC", ("ISC",)),
+    ("Apache-2.0", ("Apache 2.0",)),
+    ("BSD-2-Clause", ("BSD 2-Clause", "2-Clause BSD", "Simplified BSD")),
+    ("BSD-3-Clause", ("BSD 3-Clause", "3-Clause BSD", "New BSD", "Modified BSD")),
+    ("GPL-2.0", ("GPLv2", "GPL-2.0", "GNU GPLv2", "GNU GPL v2", "GNU General Public License v2.0")),
+    ("GPL-3.0", ("GPLv3", "GPL-3.0", "GNU GPLv3", "GNU GPL v3", "GNU General Public License v3.0")),
+    ("LGPL-2.1", ("LGPLv2.1", "LGPL-2.1", "GNU LGPL v2.1", "GNU Lesser General Public License v2.1")),
+    ("LGPL-3.0", ("LGPLv3", "LGPL-3.0", "GNU LGPL v3", "GNU Lesser General Public License v3.0")),
+    ("MPL-2.0", ("MPL 2.0", "Mozilla Public License 2.0")),
+    ("CC0-1.0", ("CC0", "CC0 1.0", "CC0 1.0 Universal", "Creative Commons Zero v1.0 Universal")),
+    *(
+        (f"CC-{code}-{v}", (f"CC {code} {v}", f"Creative Commons {name} {v}", f"Creative Commons {name} {v} {port}"))
+        for code, name in (
+            ("BY", "Attribution"), ("BY-SA", "Attribution-ShareAlike"), ("BY-ND", "Attribution-NoDerivatives"),
+            ("BY-NC", "Attribution-NonCommercial"), ("BY-NC-SA", "Attribution-NonCommercial-ShareAlike"),
+            ("BY-NC-ND", "Attribution-NonCommercial-NoDerivatives"),
+        )
+        for v, port in (("4.0", "International"), ("3.0", "Unported"))
+    ),
+)
+_LONG = (
+    ("Apache-2.0", "Apache License", "2.0"), ("GPL-2.0", "GNU General Public License", "2"),
+    ("GPL-3.0", "GNU General Public License", "3"), ("LGPL-2.1", "GNU Lesser General Public License", "2.1"),
+    ("LGPL-3.0", "GNU Lesser General Public License", "3"), ("MPL-2.0", "Mozilla Public License", "2.0"),
+)
+_SAID = (
+    "Licensed under", "Released under", "This work is licensed under", "This project is licensed under",
+    "This software is licensed under", "This document is licensed under",
+)
+_TITLES = {
+    "MIT": ("", "MIT License", "The MIT License", "The MIT License (MIT)"),
+    "ISC": ("", "ISC License", "The ISC License"),
+    "BSD-2-Clause": ("", "BSD 2-Clause License", "The BSD 2-Clause License", "Simplified BSD License"),
+    "BSD-3-Clause": ("", "BSD 3-Clause License", "The BSD 3-Clause License", "New BSD License"),
+}
+
+
+def _notices():
+    """(license, notice) of every name and wording."""
+    for spdx, names in NAMES:
+        spellings = (spdx, f"{spdx}-only", f"{spdx}-or-later") if "GPL" in spdx else (spdx,)
+        yield from ((spdx, f"SPDX-License-Identifier: {x}") for x in spellings)
+        for name in names:
+            yield from ((spdx, x) for x in (f"License: {name}", f"{name} License", f"License: {name} License"))
+            for said in _SAID:
+                yield from ((spdx, f"{said} {x}") for x in (name, f"the {name} License", f"a {name} License"))
+    for spdx, name, v in _LONG:
+        for said in _SAID:
+            for word in ("version ", "v"):
+                yield spdx, f"{said} the {name}, {word}{v}"
+                yield spdx, f"{said} the {name}, {word}{v} or later"
+        yield spdx, f"{name}, version {v}"
+
+
+def _texts():
+    """(license, text) of the files of ``license_texts`` and of the ISC text:
+    short ones with the usual titles, list numbers or none."""
+    bodies = {p.stem: p.read_text(encoding="utf-8") for p in sorted((Path(__file__).parent / "license_texts").glob("*.txt"))}
+    for spdx, body in (*bodies.items(), NOTICES[-1]):
+        for title in _TITLES.get(spdx, ("",)):
+            for rights in ("", "All rights reserved.") if spdx in _TITLES else ("",):
+                for text in dict.fromkeys((body, re.sub(r"(?m)^[1-3]\. ", "* ", body)) if spdx in _TITLES else (body,)):
+                    yield spdx, f"{title}\n{rights}\n{text}"
+
+
+#: Licences whose notices and texts are looked up, each digest once.
+KNOWN = tuple(dict.fromkeys((*NOTICES, *_notices(), *_texts())))
 #: Spellings that count as equal.
 SPELLINGS = (("licence", "license"), ("sublicence", "sublicense"), ("non commercial", "noncommercial"),
              ("copyright holder", "copyright owner"), ("per cent", "percent"), ("favour", "favor"))
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: words after "copyright" at the head of a line that is prose of a licence, not a copyright statement
+PROSE = ("notice", "holder", "owner", "law", "licen", "permission", "interest", "statement", "treat", "protect", "disclaim",
+         "control", "infring", "grant", "claim", "or ", "and ", "on ", "in ", "of ", "to ", "is ", "are ", "for ", "under ")
+
+
+def _not(words, also: str = "") -> str:
+    """A pattern of the start of a text that begins with none of ``words`` and
+    no character of ``also``; RE2, which DuckDB uses, has no lookahead."""
+    if "" in words:
+        return r"[^\s\S]"
+    heads = sorted({w[0] for w in words})
+    tails = "".join(f"|{h}(?:{_not([w[1:] for w in words if w[0] == h])})" for h in heads)
+    return f"[^\\n{also}{''.join(heads)}]{tails}"
+
+
 STEPS = (
-    (r"(^|\n)[ \t]*(copyright|\(c\)|©)[^\n]*", "\n"),
+    (rf"(^|\n)[ \t]*(copyright[ \t]+({_not(PROSE, " ")})|copyright[ \t]*[^a-z \t\n,;.]|\(c\)|©)[^\n]*", "\n"),
     (r"[^a-z0-9\x{0080}-\x{10FFFF}]+", " "),
     *((f" {a}", f" {b}") for a, b in SPELLINGS),
 )
@@ -49,7 +138,8 @@ def canonical(text: Column) -> Column:
 
 def known_licenses(spark: SparkSession, known=KNOWN) -> DataFrame:
     """(digest, license): as many rows as ``known`` has, at most."""
-    listed = F.array(*(F.struct(F.lit(a).alias("license"), F.lit(b).alias("body")) for a, b in known))
+    values = json.dumps([{"license": a, "body": b} for a, b in known])
+    listed = F.from_json(F.lit(values), "array<struct<license: string, body: string>>")
     rows = spark.range(1).select(F.inline(listed))
     return rows.groupBy(F.sha2(canonical(F.col("body")), 256).alias("digest")).agg(F.min("license").alias("license"))
 
@@ -72,9 +162,7 @@ def license_scan(docs: DataFrame, known: DataFrame | None = None) -> DataFrame:
     )
     whole = rows.select("doc_id", "key", F.sha2(canonical(F.col("text")), 256).alias("canonical_sha256"))
     whole = whole.join(known, F.col("canonical_sha256") == F.col("digest"), "left").drop("digest")
-    lines = rows.select("key", F.explode(F.split("text", "\n")).alias("line")).where(
-        F.col("line").rlike("(?i)licen[cs]e|permission")
-    )
+    lines = rows.select("key", F.explode(F.split("text", "\n")).alias("line"))
     lines = lines.select("key", F.sha2(canonical(F.col("line")), 256).alias("digest")).join(known, "digest")
     lines = lines.groupBy("key").agg(F.array_join(F.array_sort(F.collect_set("license")), ",").alias("line_licenses"))
     out = whole.join(lines, "key", "left")

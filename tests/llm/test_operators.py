@@ -1,6 +1,7 @@
 """Each operator against brute force or its contract; nulls, ties, empties."""
 
 import collections
+import textwrap
 import zlib
 
 import duckdb
@@ -132,6 +133,33 @@ def test_licenses(spark, odd):
     assert licenses.license_scan(one).first().license == "MIT"
 
 
+def test_license_files_and_notices(spark):
+    """Files in their usual wrapping, and notices in a line of another text."""
+    texts = {p.stem: p.read_text() for p in (licenses.Path(licenses.__file__).parent / "license_texts").glob("*.txt")}
+    isc = textwrap.fill(licenses.NOTICES[-1][1], 76)
+    assert "\ncopyright notice" in isc
+    head = "Copyright (c) 2019, Jane Doe\nAll rights reserved.\n\n"
+    want = [
+        ("ISC", f"ISC License\n\nCopyright 2019 Jane Doe <jane@example.org>\n\n{isc}\n"),
+        ("ISC", f"Copyright  Jane Doe\n\n{textwrap.fill(licenses.NOTICES[-1][1], 40)}"),
+        ("MIT", f"MIT License\n\nCopyright (c) 2019 Jane Doe\n\n{texts['MIT']}"),
+        ("MIT", f"© 2019 Jane Doe\n{textwrap.fill(' '.join(texts['MIT'].split()), 50)}"),
+        ("BSD-2-Clause", head + texts["BSD-2-Clause"]),
+        ("BSD-3-Clause", "BSD 3-Clause License\n\n" + head + texts["BSD-3-Clause"]),
+        *((k, t.replace("\n", "\r\n")) for k, t in texts.items()),
+        (None, f"{texts['MIT']}\nand more"), (None, "Copyright notice"), (None, "Copyright law\n"),
+    ]
+    lines = [
+        ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."), ("CC-BY-NC-4.0", "This work is licensed under a Creative Commons "
+         "Attribution-NonCommercial 4.0 International License."), ("Apache-2.0", "License: Apache 2.0"),
+        ("BSD-2-Clause", " ".join(texts["BSD-2-Clause"].split())), ("", "Licensed under CC BY-NC 4.0 or not"),
+    ]
+    rows = [(i, t) for i, (_, t) in enumerate(want)] + [(100 + i, f"Some text.\n{t}\nMore.") for i, (_, t) in enumerate(lines)]
+    got = {r.doc_id: r for r in licenses.license_scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [got[i].license for i in range(len(want))] == [k for k, _ in want]
+    assert [got[100 + i].line_licenses for i in range(len(lines))] == [k for k, _ in lines]
+
+
 def test_toxicity(spark, odd):
     sf = "/root/testdata/sf0.01"
     toxic = {r.doc_id: r.toxic for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
