@@ -13,6 +13,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
@@ -25,14 +26,45 @@ WORD = re.compile(r"[^\W_]+")
 LINE = re.compile(r"[^\n\r]+")
 #: a sentence with its end marks; a mark inside a word does not end one
 SENTENCE = re.compile(r"\S.*?(?:[.!?。！？]+(?=\s|$)|$)")
+MARKS = re.compile(r"\S*")
+#: words of a run that is hashed wherever the lines around it break
+RUN = 24
 _UNITS = "h1 long, h2 long, key long, doc_id long, first int, last int"
 
 
+def word_runs(text: str, size: int) -> Iterator[tuple[int, int, list[str]]]:
+    """(start, end, words) of runs of ``size`` words, over line breaks: of each
+    ``size`` runs that follow one another the one with the least hash. So any
+    passage of 2 * size - 1 words has the same chosen runs wherever it stands,
+    and chosen runs follow without a gap. A run that overlaps its own copy is
+    left out."""
+    places = [(m.start(), m.end()) for m in WORD.finditer(text)]
+    if len(places) < 2 * size - 1:
+        return
+    words = [text[a:b].lower() for a, b in places]
+    h = np.array([xxhash.xxh3_64_intdigest(x.encode("utf-8", "surrogatepass")) for x in words], "<u8")
+    sums = np.zeros(len(h) - size + 1, "<u8")
+    for j in range(size):
+        sums = sums * np.uint64(0x9E3779B97F4A7C15) + h[j : j + len(sums)]
+    sums = (sums ^ (sums >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    least = np.lib.stride_tricks.sliding_window_view(sums, size).argmin(axis=1) + np.arange(len(sums) - size + 1)
+    ends: dict[int, int] = {}
+    for a in np.unique(least).tolist():
+        if ends.get(int(sums[a]), 0) <= a:
+            ends[int(sums[a])] = a + size
+            last, after = places[a + size - 1][1], places[a + size][0] if a + size < len(places) else len(text)
+            yield places[a][0], MARKS.match(text, last, after).end(), words[a : a + size]
+
+
 def line_units(text: str, min_words: int) -> Iterator[tuple[int, int, bytes]]:
-    """(start, end, 16-byte digest) of the units of each line: sentences, those
-    of under ``min_words`` words joined to the next, or at the end of a line to
-    the one before. A line of fewer words has none. Units equal but for case,
+    """(start, end, 16-byte digest), by place: the units of each line, and the
+    runs of ``word_runs``. Units of a line are its sentences, those of under
+    ``min_words`` words joined to the next, or at the end of a line to the one
+    before. A line of fewer words has none. Units equal but for case,
     punctuation and white space have equal digests."""
+    out: dict[tuple[int, int], bytes] = {}
+    for first, last, words in word_runs(text, RUN):
+        out[first, last] = xxhash.xxh3_128_digest(b" " + " ".join(words).encode("utf-8", "surrogatepass"))
     for line in LINE.finditer(text):
         units: list[tuple[int, int, list[str]]] = []
         start, words = -1, []
@@ -46,16 +78,17 @@ def line_units(text: str, min_words: int) -> Iterator[tuple[int, int, bytes]]:
             first, _, before = units.pop()
             units.append((first, line.end(), before + words))
         for first, last, words in units:
-            yield first, last, xxhash.xxh3_128_digest(" ".join(words).encode("utf-8", "surrogatepass"))
+            out[first, last] = xxhash.xxh3_128_digest(" ".join(words).encode("utf-8", "surrogatepass"))
+    yield from ((first, last, d) for (first, last), d in sorted(out.items()))
 
 
 def without_spans(text: str, spans: list[tuple[int, int]]) -> str:
-    """``text`` without the ordered ranges ``spans``, the blanks after each,
+    """``text`` without the ordered ranges ``spans`` (they may overlap), the blanks after each,
     and the line break of a line of which nothing is left."""
     kept, end = [], 0
     for first, last in spans:
         kept.append(text[end:first])
-        end = last
+        end = max(end, last)
         while text[end : end + 1] in (" ", "\t"):
             end += 1
         so_far = next((k for k in reversed(kept) if k), "")
@@ -95,10 +128,12 @@ def without_lines(docs: DataFrame, min_words: int = 5) -> DataFrame:
     """``docs`` with repeated units cut out of ``text``, plus ``removed``:
     array of (first, last), ranges of code points of the original text.
 
-    Units are sentences of lines (``line_units``). The earliest occurrence, by
+    Units are sentences of lines and runs of ``RUN`` words (``line_units``); a
+    passage of 2 * RUN - 1 words or more is found whatever stands around it,
+    but up to RUN - 1 words at each of its ends may stay. The earliest occurrence, by
     doc_id (null last) and place, stays. Blanks after a cut unit go with it, and
     so does the break of an emptied line. Null texts stay null; empty texts and
-    lines of under ``min_words`` words stay as they are. Rows of equal doc_id
+    lines of under ``min_words`` words stay as they are but where a run takes them. Rows of equal doc_id
     and text are one document and come out alike. Empty input gives an empty
     result. Other columns pass through; columns named ``key``, ``spans`` or
     ``removed`` are replaced.

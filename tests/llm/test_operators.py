@@ -202,6 +202,25 @@ def test_passage_inside_other_lines(spark):
         assert linededup.without_spans(r[1], cut) == out[r[0]].text
 
 
+def test_passages_with_other_borders(spark):
+    """Passages of 60 words without sentence ends, in other lines, and in lines of under five words."""
+    rng = np.random.default_rng(2)
+    words = lambda n: [f"word{x}" for x in rng.integers(0, 9999, n)]
+    passage, rows = words(60), []
+    for i, width in enumerate((60, 60, 7, 3, 13)):
+        lines = "\n".join(" ".join(passage[at : at + width]) for at in range(0, 60, width))
+        rows.append((i, f"{' '.join(words(9))} {lines} {' '.join(words(9))}. The end of number {i} is here."))
+    rows.append((9, " ".join(["again and"] * 40)))
+    out = {r.doc_id: r for r in linededup.without_lines(spark.createDataFrame(rows, "doc_id int, text string")).collect()}
+    assert out[0].text == rows[0][1]
+    assert len(out[9].text.split()) >= linededup.RUN and rows[-1][1].startswith(out[9].text.strip())  # one copy of the run stays
+    for i, text in rows[1:5]:
+        own = [w for w in text.split() if w not in passage]
+        left = out[i].text.split()
+        assert [w for w in left if w not in passage] == own and sum(w in passage for w in left) <= 2 * (linededup.RUN - 1)
+        assert linededup.without_spans(text, [tuple(x) for x in out[i].removed]) == out[i].text
+
+
 def test_vectors(spark):
     rng = np.random.default_rng(3)
     base = rng.normal(size=(60, 16))
