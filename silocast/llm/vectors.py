@@ -208,6 +208,9 @@ def near_vectors(rows: DataFrame, low: float = 0.95, sample_rows: int = 20_000)
             links[k, : len(to)] = to
         hit = greedy_search(y, links, start, low, BEAM)
         hit |= hit.T
+        # a pair counts in one task alone, so that task must not miss one that the walk of another finds
+        for lo in range(0, n, 512):
+            hit[lo : lo + 512] |= y[lo : lo + 512] @ y.T >= low - 1e-5
         u, v = np.nonzero(np.triu(hit, 1))
         ok = np.zeros(len(u), bool)
         for lo in range(0, len(u), 100_000):

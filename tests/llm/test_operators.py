@@ -237,3 +237,16 @@ def test_vectors(spark):
     assert (found <= true).all() and found.sum() >= 0.9 * true.sum()
     assert all(out[k].n_links == 0 and out[k].kept for k in range(901, 906))
     assert vectors.near_vectors(df.limit(0)).count() == 0
+
+
+def test_links_that_the_walk_misses_are_counted(spark, monkeypatch):
+    """With a walk that finds next to nothing, n_links are still those of all pairs in a shard."""
+    monkeypatch.setattr(vectors, "BEAM", 1)
+    monkeypatch.setattr(vectors, "DEGREE", 1)
+    rng = np.random.default_rng(4)
+    base = rng.normal(size=(40, 16))
+    x = np.concatenate([base + 0.05 * rng.normal(size=base.shape) for _ in range(6)])
+    df = spark.createDataFrame([(i, [float(c) for c in v]) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    y = x / np.linalg.norm(x, axis=1)[:, None]
+    found = {r.vec_id: r.n_links for r in vectors.near_vectors(df).collect()}
+    assert [found[i] for i in range(len(x))] == ((y @ y.T >= 0.95).sum(axis=1) - 1).tolist()
