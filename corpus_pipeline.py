@@ -46,9 +46,15 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document as often as the mix takes it, up to three times."""
-    copies = cube_mix(docs).groupBy("doc_id").agg(F.max("copies").alias("copies")).where("copies > 0")
-    rows = docs.select(*COLUMNS).join(copies, "doc_id")
+    """Every document as often as the mix takes it, up to three times. The mix
+    decides by row: null ids count like others, texts that share an id are
+    decided apart, and equal rows come out as often as their decisions add up to."""
+    key = F.xxhash64(*COLUMNS, *(F.col(c).isNull() for c in COLUMNS))  # a hash alone skips nulls
+    rows = docs.select(*COLUMNS).withColumn("key", key)
+    taken = cube_mix(rows.select(F.col("key").alias("doc_id"), "text", "source")).groupBy(F.col("doc_id").alias("key"))
+    taken = taken.agg(F.sum("copies").alias("copies"), F.count("*").alias("rows")).where("copies > 0")
+    rows = rows.join(taken, "key")
+    rows = rows.where("rows = 1").union(rows.where("rows > 1").dropDuplicates(["key"]))
     return rows.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*COLUMNS)
 
 

@@ -1,6 +1,7 @@
 """The pipeline's stages: what each keeps, and the columns it returns."""
 
 import numpy as np
+from pyspark.sql import functions as F
 
 import corpus_pipeline as P
 
@@ -44,3 +45,22 @@ def test_chain_of_near_copies(spark):
     rows = [(i, " ".join(words[20 * i : 20 * i + 400])) for i in range(15)]
     docs = spark.createDataFrame([(d, t, "en", "a", len(t)) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
     assert [r.doc_id for r in P.near_dedup(spark, docs, SF).collect()] == [0]
+
+
+def test_null_and_repeated_ids(spark):
+    """Null ids take part in both stages; texts that share an id are decided apart; empty input stays empty."""
+    words = [f"w{i} " * 3 for i in range(90)]
+    rows = [(None, " ".join(words[:60])), (None, " ".join(words[:59])), (None, "another text"), (3, "one text here"), (3, "two texts here")]
+    docs = spark.createDataFrame([(d, t, "en", "a", len(t)) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    out = P.near_dedup(spark, docs, SF).collect()
+    assert sorted(str((r.doc_id, r.text[:3])) for r in out) == ["(3, 'one')", "(3, 'two')", "(None, 'ano')", "(None, 'w0 ')"]
+    mixed = P.mix(spark, docs.union(docs.limit(1)), SF).collect()  # one source: each row once
+    assert sorted((str(r.doc_id), r.text) for r in mixed) == sorted((str(d), t) for d, t in [*rows, rows[0]])
+    shared = docs.where("doc_id = 3").union(spark.createDataFrame([(i, "b c d e", "en", "b", 7) for i in range(40, 60)], docs.schema))
+    want = {}
+    for r in P.cube_mix(shared.withColumn("doc_id", F.xxhash64(*P.COLUMNS, *(F.col(c).isNull() for c in P.COLUMNS)))).collect():
+        want[r.source] = want.get(r.source, 0) + r.copies
+    got = [r.source for r in P.mix(spark, shared, SF).collect()]
+    assert {k: got.count(k) for k in want} == want
+    for stage in (P.near_dedup, P.mix):
+        assert stage(spark, docs.limit(0), SF).count() == 0
