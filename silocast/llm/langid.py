@@ -69,7 +69,7 @@ class Model:
         found = self.words.get(word)
         if found is not None:
             return found
-        padded, i = f"^{word[:64]}$", 0
+        padded, i = f"^{word}$", 0
         out, n = np.zeros(len(self.langs), np.float32), 0
         while i < len(padded):
             for k in range(min(LONGEST, len(padded) - i), 0, -1):
@@ -91,7 +91,9 @@ class Model:
             if score is None:
                 if len(cache) > 200_000:
                     cache.clear()
-                score = cache[w] = self.word(w)
+                score = self.word(w)
+                if len(w) <= 64:
+                    cache[w] = score
             total += score * n
             number += n
         total *= min(1.0, 20 / number)  # keeps the scores of long texts apart

@@ -250,3 +250,9 @@ def test_links_that_the_walk_misses_are_counted(spark, monkeypatch):
     y = x / np.linalg.norm(x, axis=1)[:, None]
     found = {r.vec_id: r.n_links for r in vectors.near_vectors(df).collect()}
     assert [found[i] for i in range(len(x))] == ((y @ y.T >= 0.95).sum(axis=1) - 1).tolist()
+
+
+def test_langid_scores_whole_words():
+    """What follows the first 64 letters of a run counts."""
+    model = langid.Model({"a": collections.Counter({"xyxy": 5}), "b": collections.Counter({"uvuv": 5})})
+    assert model.predict("q" * 64 + "uvuv" * 20, {})[0] == "b" and model.predict("q" * 64 + "xyxy" * 20, {})[0] == "a"
