@@ -11,8 +11,10 @@ all j, are packed by first fit.
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -20,13 +22,13 @@ import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from .common import ranked, stored, table
 
 CAPACITY, END_ID = 4096, 2
 #: pieces per bin, by class: one by one, then in steps of about a quarter
 COUNTS = (1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 16, 20, 24, 32, 40, 48, 64, 80, 96, 128, 192, 256, 512, 1024, 2048, 4096)
-_LOADED: dict = {}
 
 
 def piece_lengths(n: int, capacity: int = CAPACITY, spare: float = 0.02) -> list[tuple[int, int]]:
@@ -50,14 +52,74 @@ def piece_lengths(n: int, capacity: int = CAPACITY, spare: float = 0.02) -> list
     return out
 
 
-def tokenizer(path: str):
-    """The tokenizer of ``path``, loaded once a process."""
-    if path not in _LOADED:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+#: letters whose lower case is the same in Python and in the tokenizer
+WIDE = re.compile(r"[^\x00-\u024f]|<\|")
+#: a full stop or comma that the tokenizer joins to a mark before it
+JOINED = re.compile(r"(?:[^\w \t-\r]|_)[.,] ")
+
+
+def parted(text: str) -> str:
+    """``text`` with the same ids and fewer distinct words between blanks:
+    lower case, and stops and commas that end a word set apart."""
+    text = text.replace("\n", " ")
+    if not WIDE.search(text):
+        text = text.lower()
+    if not JOINED.search(text):
+        text = text.replace(". ", " . ").replace(", ", " , ")
+    return text
 
-        _LOADED[path] = Tokenizer.from_file(path)
-    return _LOADED[path]
+
+class WordIds(dict):
+    """Word to its place in a table of ids, so that each distinct word is
+    encoded once a task. The tokenizer drops white space and no rule of it
+    reaches over a blank, so the ids of a text are those of its words in turn.
+    Beyond ``most`` words the table starts anew, between two calls."""
+
+    def __init__(self, path: str, most: int = 500_000):
+        super().__init__()
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        self.tok, self.most = Tokenizer.from_file(path), most
+        self.new: list[str] = []
+        self.ids, self.ends = np.empty(1 << 16, "<u4"), np.zeros(1 << 16, np.int64)
+
+    def __missing__(self, word: str) -> int:
+        self[word] = at = len(self)
+        self.new.append(word)
+        return at
+
+    def _learn(self) -> None:
+        """The ids of the new words, appended to the table."""
+        done = len(self) - len(self.new)
+        for at in range(0, len(self.new), 4096):
+            found = [e.ids for e in self.tok.encode_batch_fast(self.new[at : at + 4096], add_special_tokens=False)]
+            flat = np.fromiter(chain.from_iterable(found), "<u4")
+            ends = self.ends[done] + np.cumsum([len(x) for x in found])
+            while len(self.ids) < ends[-1]:
+                self.ids = np.append(self.ids, np.empty_like(self.ids))
+            while len(self.ends) <= done + len(found):
+                self.ends = np.append(self.ends, np.empty_like(self.ends))
+            self.ids[self.ends[done] : ends[-1]] = flat
+            self.ends[done + 1 : done + 1 + len(found)] = ends
+            done += len(found)
+        self.new = []
+
+    def texts(self, texts: list[str | None]) -> Iterator[np.ndarray]:
+        """Per text its ids and END_ID."""
+        if len(self) > self.most:
+            self.clear()
+        places = []
+        for text in texts:
+            words = parted(text or "").split(" ")
+            places.append(np.fromiter(map(self.__getitem__, words), np.int64, len(words)))
+        self._learn()
+        for at in places:
+            first = self.ends[at]
+            n = self.ends[at + 1] - first
+            done = np.cumsum(n)
+            out = np.empty(int(done[-1]) + 1, "<u4")
+            out[:-1] = self.ids[np.arange(len(out) - 1) + np.repeat(first - done + n, n)]
+            out[-1] = END_ID
+            yield out
 
 
 _PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, class int"
@@ -75,20 +137,16 @@ def harmonic_pack(docs: DataFrame, path: str | None = None, capacity: int = CAPA
     path = path or public_tokenizers.path("word_bpe_49k.json")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tok = tokenizer(path)
+        words = WordIds(path)
         names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "class"]
         types = [pa.int64()] * 5 + [pa.int32()]
         for batch in batches:
-            for at in range(0, batch.num_rows, 128):
-                part, out = batch.slice(at, 128), []
-                texts = [t or "" for t in part.column(1).to_pylist()]
-                found = tok.encode_batch_fast(texts, add_special_tokens=False)
-                for doc, e in zip(part.column(0).to_pylist(), found):
-                    ids = np.array([*e.ids, END_ID], dtype="<u4")
+            for at in range(0, batch.num_rows, 256):
+                part, out = batch.slice(at, 256), []
+                for doc, ids in zip(part.column(0).to_pylist(), words.texts(part.column(1).to_pylist())):
                     start = 0
                     for length, j in piece_lengths(len(ids), capacity):
-                        crc = zlib.crc32(ids[start : start + length].tobytes())
-                        out.append((doc, start, length, crc, len(ids), j))
+                        out.append((doc, start, length, zlib.crc32(ids[start : start + length]), len(ids), j))
                         start += length
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names=names)
 
