@@ -9,109 +9,160 @@ labelled rows, so what is broadcast does not grow with the corpus.
 from __future__ import annotations
 
 import re
-from collections import Counter, defaultdict
+import sys
+import unicodedata
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
 
-LETTERS = re.compile(r"[^\W\d_]+")
-#: rows that a model is fitted on (about), words per language, longest n-gram
-SAMPLE_ROWS, VOCABULARY, LONGEST = 6000, 20_000, 4
+#: characters that ``\w`` takes and that are neither letters nor decimal digits
+OTHER = frozenset(
+    c for c in map(chr, range(sys.maxunicode + 1)) if c.isalnum() and not c.isdecimal() and unicodedata.category(c)[0] != "L"
+)
+_RUN, _STRICT = re.compile(r"[^\W\d_]+"), re.compile(rf"[^\W\d_{''.join(sorted(OTHER))}]+")
 
 
-def held_out(fold_of: int = 4, fold: int = 2):
-    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % fold_of == fold
+def letters(text: str) -> list[str]:
+    """The runs of letters of ``text`` in lower case."""
+    text = text.lower()
+    return (_RUN if text.isascii() or OTHER.isdisjoint(text) else _STRICT).findall(text)
 
 
-def sampled(rows: DataFrame, most: int, salt: str) -> DataFrame:
-    """About ``most`` rows of ``rows``, chosen by a hash of their doc_id; all
-    rows where there are no more."""
-    n = rows.count()
-    share = int(1_000_000 * min(1.0, most / max(n, 1)))
-    return rows.where(F.pmod(F.xxhash64(F.lit(salt), "doc_id"), F.lit(1_000_000)) < share)
+#: labelled rows of each language that a model is fitted on (about); longest n-gram
+SAMPLE_ROWS, LONGEST = 1500, 4
+#: how a mean difference of log frequencies becomes a probability
+SHARPNESS = 4.0
+
+
+def held_out(fold_of: int = 4, fold: int = 2) -> Column:
+    """Whether the row is of the held-out fold; a null doc_id is not."""
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % fold_of == fold, F.lit(False))
+
+
+def chance(salt: str, *columns: str) -> Column:
+    """A number from 0 to 1 by a 53-bit hash of ``columns``."""
+    return F.shiftrightunsigned(F.xxhash64(F.lit(salt), *columns), 11) / F.lit(float(2**53))
+
+
+def sampled(rows: DataFrame, most: int, by: str, salt: str, *columns: str) -> DataFrame:
+    """About ``most`` rows of each value of ``by``, chosen by a hash of
+    ``columns``; all rows of a value that has no more. ``by`` has few values."""
+    sizes = rows.groupBy(F.col(by).alias("_by")).agg(F.count("*").alias("_n"))
+    picked = rows.join(sizes, F.col(by).eqNullSafe(F.col("_by")))
+    return picked.where(chance(salt, *columns) < F.lit(float(most)) / F.col("_n")).drop("_by", "_n")
+
+
+def grams(word: str) -> Iterator[str]:
+    """All n-grams of ``word`` with its ends marked."""
+    padded = f"^{word}$"
+    for k in range(1, LONGEST + 1):
+        for i in range(len(padded) - k + 1):
+            yield padded[i : i + k]
 
 
 class Model:
-    """Log frequencies of words and of n-grams by language."""
+    """Log frequencies of words and of n-grams by language, centred on their
+    mean over the languages: one row of a matrix for each item."""
 
     def __init__(self, counts: dict[str, Counter]):
         self.langs = sorted(counts)
-        grams: dict[str, Counter] = {x: Counter() for x in self.langs}
+        parts: dict[str, Counter] = {x: Counter() for x in self.langs}
         for x in self.langs:
             for word, n in counts[x].items():
-                padded = f"^{word}$"
-                for k in range(1, LONGEST + 1):
-                    for i in range(len(padded) - k + 1):
-                        grams[x][padded[i : i + k]] += n
-        self.words = self._logs(counts)
-        self.grams = self._logs(grams, 2)
-
-    def _logs(self, counts: dict[str, Counter], least: int = 1) -> dict[str, np.ndarray]:
-        """Per item its log frequency in each language, less their mean."""
-        sums: dict = defaultdict(lambda: np.zeros(len(self.langs)))
-        for i, x in enumerate(self.langs):
-            for item, n in counts[x].items():
-                sums[item][i] = n
-        total = sum(sums.values()) if sums else 1.0
-        out = {}
-        for item, n in sums.items():
-            if n.sum() >= least:
-                log = np.log((n + 0.5) / (total + 0.5 * len(sums)))
-                out[item] = (log - log.mean()).astype(np.float32)
-        return out
-
-    def word(self, word: str) -> np.ndarray:
-        found = self.words.get(word)
-        if found is not None:
-            return found
-        padded, i = f"^{word}$", 0
-        out, n = np.zeros(len(self.langs), np.float32), 0
+                for g in grams(word):
+                    parts[x][g] += n
+        self.words, self.word_rows = self._logs(counts)
+        self.grams, self.gram_rows = self._logs(parts)
+
+    def _logs(self, counts: dict[str, Counter]) -> tuple[dict[str, int], np.ndarray]:
+        if not counts:
+            return {}, np.zeros((0, 0), np.float32)
+        place = {item: i for i, item in enumerate(sorted(set().union(*counts.values())))}
+        n = np.zeros((len(place), len(self.langs)))
+        for j, x in enumerate(self.langs):
+            for item, c in counts[x].items():
+                n[place[item], j] = c
+        log = np.log((n + 0.5) / (n.sum(axis=0) + 0.5 * len(n)))
+        return place, (log - log.mean(axis=1, keepdims=True)).astype(np.float32)
+
+    def unseen(self, word: str) -> np.ndarray:
+        """The score of a word by its n-grams."""
+        padded, i, used = f"^{word}$", 0, []
         while i < len(padded):
             for k in range(min(LONGEST, len(padded) - i), 0, -1):
-                gram = self.grams.get(padded[i : i + k])
-                if gram is not None:
-                    out, n, i = out + gram, n + 1, i + k
+                at = self.grams.get(padded[i : i + k])
+                if at is not None:
+                    used.append(at)
+                    i += k
                     break
             else:
                 i += 1
-        return out / max(1.0, n**0.5)
-
-    def predict(self, text: str | None, cache: dict) -> tuple[str, float]:
-        words = Counter(LETTERS.findall(text.lower())) if text else None
-        if not words or not self.langs:
+        return self.gram_rows[used].sum(axis=0) / max(1.0, len(used) ** 0.5)
+
+
+class Predictor(dict):
+    """Word to its row of scores: the model's words, then unseen words as they
+    come. Beyond ``most`` unseen ones the latter start anew."""
+
+    def __init__(self, model: Model, most: int = 100_000):
+        super().__init__(model.words)
+        self.model, self.known, self.most = model, len(model.words), most
+        self.rows = np.append(model.word_rows, np.empty((4096, len(model.langs)), np.float32), axis=0)
+
+    def __missing__(self, word: str) -> int:
+        at = len(self)
+        if at == len(self.rows):
+            self.rows = np.append(self.rows, np.empty((len(self.rows) // 2, self.rows.shape[1]), np.float32), axis=0)
+        self.rows[at] = self.model.unseen(word)
+        self[word] = at
+        return at
+
+    def predict(self, text: str | None) -> tuple[str, float]:
+        """(language, score) by the mean score of the words of ``text``."""
+        words = letters(text) if text else []
+        if not words or not self.model.langs:
             return "und", 0.0
-        total, number = np.zeros(len(self.langs)), 0
-        for w, n in words.items():
-            score = cache.get(w)
-            if score is None:
-                if len(cache) > 200_000:
-                    cache.clear()
-                score = self.word(w)
-                if len(w) <= 64:
-                    cache[w] = score
-            total += score * n
-            number += n
-        total *= min(1.0, 20 / number)  # keeps the scores of long texts apart
-        p = np.exp(total - total.max())
-        return self.langs[int(p.argmax())], float(p.max() / p.sum())
-
-
-def fit(rows: DataFrame, most: int = SAMPLE_ROWS, vocabulary: int = VOCABULARY) -> Model:
-    """A model of ``rows`` (doc_id, text, lang), fitted on ``most`` of them
-    (about); ``vocabulary`` words per language are kept, by frequency."""
+        if len(self) > self.known + self.most:
+            self.clear()
+            self.update(self.model.words)
+            self.rows = self.rows[: self.known + 4096].copy()
+        at = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+        mean = self.rows[at].sum(axis=0, dtype=np.float64) / len(at)
+        p = np.exp(SHARPNESS * (mean - mean.max()))
+        return self.model.langs[int(p.argmax())], float(p.max() / p.sum())
+
+
+def fit(rows: DataFrame, most: int = SAMPLE_ROWS) -> Model:
+    """A model of ``rows`` (doc_id, text, lang), fitted on about ``most`` rows
+    of each language, whole texts of them; all their words and n-grams count.
+    Rows of null text or lang are left out; without rows the model has no
+    language."""
     rows = rows.where("text is not null and lang is not null").select("doc_id", "text", "lang")
-    words = F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), F.lit(0)))
-    counts = sampled(rows, most, "lang").select("lang", words.alias("word")).groupBy("lang", "word").count()
+    rows = sampled(rows, most, "lang", "lang", "doc_id", "text").select("lang", "text")
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1024):
+                found: Counter = Counter()
+                for lang, text in zip(*(c.to_pylist() for c in batch.slice(at, 1024).columns)):
+                    found.update((lang, w) for w in letters(text))
+                lang, word = zip(*found) if found else ((), ())
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(lang, pa.string()), pa.array(word, pa.string()), pa.array(found.values(), pa.int64())],
+                    names=["lang", "word", "n"],
+                )
+
+    counts = rows.mapInArrow(counted, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
     found: dict[str, Counter] = {}
     for r in counts.collect():
-        found.setdefault(r["lang"], Counter())[r["word"]] = r["count"]
-    kept = lambda c: Counter(dict(sorted(c.items(), key=lambda x: (-x[1], x[0]))[:vocabulary]))
-    return Model({x: kept(c) for x, c in found.items()})
+        found.setdefault(r["lang"], Counter())[r["word"]] = r["n"]
+    return Model(found)
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:
@@ -119,21 +170,23 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
 
     Null and empty texts and texts without a letter are ``und`` with score 0,
     as is all text under a model without languages. Ties go to the first
-    language by name. Repeated rows come out alike; empty input gives an empty
-    result; columns named lang_pred or score are replaced.
+    language by name. Very long texts count whole. Repeated rows come out
+    alike; null ids stay; empty input gives an empty result; columns named
+    lang_pred or score are replaced, others pass.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     docs = docs.drop("lang_pred", "score").withColumn("text", F.col("text").cast("string"))
     names, at = docs.columns, docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, cache = shared.value, {}
+        predictor = Predictor(shared.value)
         for batch in batches:
-            out = [model.predict(t, cache) for t in batch.column(at).to_pylist()]
-            pred, score = [x for x, _ in out], [y for _, y in out]
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(pred, pa.string()), pa.array(score, pa.float64())], names=[*names, "lang_pred", "score"]
-            )
+            for first in range(0, batch.num_rows, 512):
+                part = batch.slice(first, 512)
+                pred, score = zip(*map(predictor.predict, part.column(at).to_pylist()))
+                yield pa.RecordBatch.from_arrays(
+                    [*part.columns, pa.array(pred, pa.string()), pa.array(score, pa.float64())], names=[*names, "lang_pred", "score"]
+                )
 
     schema = docs.withColumn("lang_pred", F.lit("")).withColumn("score", F.lit(0.0)).schema
     return docs.mapInArrow(run, schema)
@@ -141,7 +194,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
 
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    model = fit(docs.where(~F.coalesce(held_out(), F.lit(False))))
+    model = fit(docs.where(~held_out()))
     out = identify(docs.select("doc_id", "text"), model)
     return out.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
 
