@@ -1,10 +1,11 @@
 """Toxicity by weak supervision (operator 8).
 
-Many voters look at a text: single words of a fixed lexicon, groups of words
-and word beginnings that labelled rows point to, and patterns. A generative
-label model (EM over class-conditional vote rates) estimates how accurate
-each is; votes that go together beyond what the class explains count less. A
-linear classifier is trained on the posterior labels and scores whole texts.
+Many voters look at a text: single words of a fixed lexicon, patterns, and
+groups of words and word beginnings that go with the labels. A generative
+label model (EM over class-conditional vote rates) estimates how accurate each
+is; votes that go together beyond what the class explains count less. A linear
+classifier over the words and word beginnings of the text, not over the votes,
+is trained on the posterior labels and scores whole texts.
 """
 
 from __future__ import annotations
@@ -18,57 +19,85 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
-from .langid import LETTERS, sampled
-
-#: Insults.
-LEXICON = ("idiot", "moron", "stupid", "pathetic", "worthless", "disgusting", "loser", "clown", "scum", "trash")
-AIMED = re.compile(r"\b(?:you|your|they|he|she)\b[^.!?\n]{0,40}\b(?:" + "|".join(LEXICON) + r")s?\b")
+from .common import stored, table
+from .langid import held_out, letters, sampled
+
+#: Insults, swear words and words of contempt.
+LEXICON = (
+    "idiot", "moron", "stupid", "pathetic", "worthless", "disgusting", "loser", "clown", "scum", "trash",
+    "dumb", "fool", "imbecile", "jerk", "coward", "liar", "garbage", "filth", "vermin", "parasite", "pig", "rat",
+    "bastard", "bitch", "asshole", "shit", "fuck", "fucking", "crap", "damn", "hate", "kill", "ugly", "freak", "creep",
+)
+_BAD = "(?:" + "|".join(LEXICON) + ")s?"
+#: what a hostile sentence looks like
+PATTERNS = tuple(
+    re.compile(p)
+    for p in (
+        rf"\b(?:you|your|they|he|she)\b[^.!?\n]{{0,40}}\b{_BAD}\b",
+        rf"\b{_BAD}\b[^.!?\n]{{0,40}}\b(?:you|your|them|him|her)\b",
+        rf"\b(?:such|what|like|total|complete|utter) an? {_BAD}\b",
+        r"\b(?:shut up|get lost|go away|drop dead|screw you|kill yourself|go to hell)\b",
+        r"\bi (?:will|am going to|want to) (?:kill|hurt|find|beat|destroy) you\b",
+        r"\b(?:nobody|no one) (?:likes|wants|cares about) (?:you|them|him|her)\b",
+        rf"\b{_BAD}\b[^.\n]{{0,20}}!",
+        rf"\b{_BAD}\b(?:\W+\w+){{0,8}}\W+{_BAD}\b",
+    )
+)
 #: word beginnings have so many letters; voters over learned words and beginnings
-STEMS, GROUPS = (4, 5, 6), 6
-#: rows that labels, votes and weights are learned from (about), learned items
-SAMPLE_ROWS, ITEMS = 12_000, 600
-
-
-def held_out():
-    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1
+STEMS, GROUPS = (4, 5, 6), 12
+#: labelled rows that are learned from (about); how far from chance and in how
+#: many of these rows an item must occur to be a feature
+SAMPLE_ROWS, FAR, LEAST = 12_000, 4.0, 5
 
 
 def items(words: set[str]) -> set[str]:
     """The words and their beginnings, as learned items are named."""
-    return words | {f"{w[:k]}-" for w in words for k in STEMS if len(w) > k}
+    return words.union(*({f"{w[:k]}-" for w in words if len(w) > k} for k in STEMS))
 
 
 class Voters:
-    """Votes of a text: 1 fires, 0 does not. ``learned``: items of labelled rows."""
+    """Votes of a text: 1 fires, 0 does not. ``learned``: items that go with
+    toxic labels, each in one of a few groups that vote."""
 
     def __init__(self, learned: list[str]):
-        self.group = {x: len(LEXICON) + zlib.crc32(x.encode()) % GROUPS + GROUPS * x.endswith("-") for x in learned}
-        self.n = len(LEXICON) + 2 * GROUPS + 3
+        self.at = {x: len(LEXICON) + zlib.crc32(x.encode()) % GROUPS + GROUPS * x.endswith("-") for x in learned}
+        self.n = len(LEXICON) + 2 * GROUPS + len(PATTERNS) + 1
 
     def votes(self, text: str) -> np.ndarray:
-        low = text.lower()
-        words = set(LETTERS.findall(low))
+        low, words = text.lower(), set(letters(text))
         v = np.zeros(self.n, np.int8)
-        for i, w in enumerate(LEXICON):
-            v[i] = w in words
-        for x in items(words) & self.group.keys():
-            v[self.group[x]] = 1
-        v[-3] = bool(v[: len(LEXICON)].any() and AIMED.search(low))
-        v[-2] = v[: len(LEXICON)].sum() >= 2
-        v[-1] = bool(words) and not v[:-1].any()
+        v[: len(LEXICON)] = [w in words for w in LEXICON]
+        v[[self.at[x] for x in items(words) & self.at.keys()]] = 1
+        if v[: len(LEXICON)].any():
+            v[-1 - len(PATTERNS) : -1] = [bool(p.search(low)) for p in PATTERNS]
+        v[-1] = not v[:-1].any()
         return v
 
 
+class Scorer:
+    """A linear function of the items that a text has."""
+
+    def __init__(self, weights: dict[str, float], constant: float):
+        self.constant = constant
+        self.words = {x: w for x, w in weights.items() if not x.endswith("-")}
+        self.stems = [(k, {x[:-1]: w for x, w in weights.items() if x.endswith("-") and len(x) == k + 1}) for k in STEMS]
+
+    def score(self, text: str) -> float:
+        words = set(letters(text))
+        z = self.constant + sum(self.words[w] for w in sorted(words & self.words.keys()))
+        for k, weights in self.stems:
+            z += sum(weights[w] for w in sorted({w[:k] for w in words if len(w) > k} & weights.keys()))
+        return 1 / (1 + np.exp(-min(30.0, max(-30.0, z))))
+
+
 class LabelModel:
     """Rates at which each voter fires in toxic and other texts, by EM."""
 
-    def __init__(self, votes: np.ndarray, labels: np.ndarray, rounds: int = 30, trust: float = 0.8):
+    def __init__(self, votes: np.ndarray, labels: np.ndarray, rounds: int = 30, trust: float = 0.95):
         """``labels``: 1, 0 or -1 (unknown); a known one is true with ``trust``."""
         n, k = votes.shape
-        start = votes[:, : k - 1].any(axis=1)
-        q = np.where(start, 0.9, 0.03)
         known = np.where(labels == 1, trust, np.where(labels == 0, 1 - trust, 0.5))
+        q = np.where(labels == -1, np.where(votes[:, : k - 1].any(axis=1), 0.6, 0.03), known)
         self.share = np.ones(k)
         for _ in range(rounds):
             self.prior = float(np.clip(q.mean(), 0.005, 0.5))
@@ -91,76 +120,85 @@ class LabelModel:
         return 1 / (1 + np.exp(-np.clip(score, -30, 30)))
 
 
-def linear_fit(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, rounds: int = 40) -> np.ndarray:
-    """Logistic regression on soft labels by Newton steps; the last weight is
+def linear_fit(row: np.ndarray, item: np.ndarray, y: np.ndarray, n_items: int, ridge: float = 1e-4, rounds: int = 120) -> np.ndarray:
+    """Logistic regression on soft labels ``y`` over the pairs (row, item) of
+    items present, by gradient steps of decreasing size; the last weight is
     the constant."""
-    x = np.hstack([x, np.ones((len(x), 1))]).astype(float)
-    w = np.zeros(x.shape[1])
-    for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        g = x.T @ (p - y) / len(x) + ridge * w
-        h = (x * (p * (1 - p))[:, None]).T @ x / len(x) + (ridge + 1e-9) * np.eye(len(w))
-        step = np.linalg.solve(h, g)
-        w -= step / max(1.0, np.abs(step).max() / 4)
-        if np.abs(step).max() < 1e-8:
-            break
+    w, m, v = (np.zeros(n_items + 1) for _ in range(3))
+    w[-1] = np.log(y.mean() / (1 - y.mean()))
+    for t in range(1, rounds + 1):
+        z = np.bincount(row, w[item], len(y)) + w[-1]
+        off = 1 / (1 + np.exp(-np.clip(z, -30, 30))) - y
+        g = np.append(np.bincount(item, off[row], n_items) / len(y) + ridge * w[:-1], off.mean())
+        m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
+        w -= 0.3 * 0.97**t * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
     return w
 
 
-def fit(docs: DataFrame, labels: DataFrame, most: int = SAMPLE_ROWS) -> tuple[Voters, np.ndarray]:
-    """Voters and weights from rows that are not held out. Labelled rows and
-    unlabelled rows are each sampled to about ``most``."""
-    rows = docs.where("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    rows = rows.where(~F.coalesce(held_out(), F.lit(False)))
-    marks = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("y"))
-    known = rows.join(sampled(marks, most, "toxic"), "doc_id")
+def fit(docs: DataFrame, labels: DataFrame, most: int = SAMPLE_ROWS) -> Scorer:
+    """The scorer learned from rows that are not held out and have a label,
+    ``most`` of them (about), whole texts of them. Of several labels of an id the
+    highest counts. Without labelled rows, or with one label only, all texts
+    score alike."""
+    rows = docs.where("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = rows.where(~held_out(3, 1))
+    marks = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("y"))
+    marks = sampled(marks.where(~held_out(3, 1)).withColumn("all", F.lit(0)), most, "all", "toxic", "doc_id").select("doc_id", "y")
+    known = stored(rows.join(marks, "doc_id").withColumn("all", F.lit(0)), "labelled")
+    known = sampled(known, most, "all", "rows", "doc_id", "text").select("text", "y")  # where ids repeat
 
     def seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for text, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                out = sorted(items(set(LETTERS.findall(text.lower()))))
+                out = sorted(items(set(letters(text))))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(out, pa.string()), pa.array(np.full(len(out), y, np.int32))], names=["item", "y"]
                 )
 
-    counts = known.select("text", F.col("y").cast("int").alias("y")).mapInArrow(seen, "item string, y int")
-    counts = counts.groupBy("item").agg(F.sum("y").alias("pos"), F.count("*").alias("n"))
-    best = counts.where("pos >= 6 and pos >= 0.9 * n").orderBy(F.desc("pos"), "item").limit(ITEMS).collect()
-    voters = Voters([r["item"] for r in best])
-
-    def voted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    sums = known.agg(F.count("*").alias("n"), F.sum("y").alias("pos")).first()
+    n, share = sums["n"], (sums["pos"] or 0) / max(1, sums["n"])
+    if not 0 < share < 1:
+        return Scorer({}, 4.0 if share else -4.0)
+    counts = known.mapInArrow(seen, "item string, y int").groupBy("item").agg(F.sum("y").alias("pos"), F.count("*").alias("n"))
+    far = (F.col("pos") - F.col("n") * share) / F.sqrt(F.col("n") * share * (1 - share))
+    found = counts.withColumn("far", far).where((F.col("n") >= LEAST) & (F.abs("far") >= FAR)).orderBy("item").collect()
+    names = [r["item"] for r in found]
+    place, voters = {x: i for i, x in enumerate(names)}, Voters([r["item"] for r in found if r["far"] > 0])
+
+    def looked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = [bytes(voters.votes(t)) for t in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary()), batch.column(1)], names=["v", "y"])
-
-    other = sampled(rows.join(marks, "doc_id", "left_anti"), most, "votes").select("text", F.lit(-1).alias("y"))
-    both = known.select("text", F.col("y").cast("int").alias("y")).union(other)
-    found = both.mapInArrow(voted, "v binary, y int").groupBy("v", "y").count().orderBy("v", "y").collect()
-    votes = np.array([list(r["v"]) for r in found], np.int8).reshape(-1, voters.n)
-    n = np.array([r["count"] for r in found], int)
-    y = np.array([r["y"] for r in found], int)
-    if not len(votes):
-        return voters, np.append(np.zeros(voters.n), -4.0)
-    votes, y = np.repeat(votes, n, axis=0).astype(float), np.repeat(y, n)
-    model = LabelModel(votes, y)
-    return voters, linear_fit(votes, model.posterior(votes))
-
-
-def toxic_scores(docs: DataFrame, fitted: tuple[Voters, np.ndarray], threshold: float = 0.7) -> DataFrame:
+            texts = batch.column(0).to_pylist()
+            votes = [voters.votes(t).tobytes() for t in texts]
+            own = [sorted(place[x] for x in items(set(letters(t))) & place.keys()) for t in texts]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(votes, pa.binary()), batch.column(1), pa.array(own, pa.list_(pa.int32()))], names=["v", "y", "items"]
+            )
+
+    got = known.mapInArrow(looked, "v binary, y int, items array<int>").orderBy("v", "y", "items").collect()
+    votes = np.frombuffer(b"".join(bytes(r["v"]) for r in got), np.int8).reshape(-1, voters.n).astype(float)
+    posterior = LabelModel(votes, np.array([r["y"] for r in got])).labels
+    row = np.repeat(np.arange(len(got)), [len(r["items"]) for r in got])
+    item = np.array([x for r in got for x in r["items"]], np.int64)
+    w = linear_fit(row, item, posterior, len(names))
+    return Scorer(dict(zip(names, w[:-1].tolist())), float(w[-1]))
+
+
+def toxic_scores(docs: DataFrame, fitted: Scorer, threshold: float = 0.7) -> DataFrame:
     """(doc_id, score, predicted) per row of ``docs``, from its text alone.
 
-    Null texts count as empty; empty texts get the score of no votes. Repeated
-    rows come out alike; null ids stay; empty input gives an empty result;
-    other columns are ignored.
+    Null texts count as empty; empty texts get the score of no words. Very
+    long texts count whole. Repeated rows come out alike; null ids stay; empty
+    input gives an empty result; other columns are ignored.
     """
     shared = docs.sparkSession.sparkContext.broadcast(fitted)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        voters, w = shared.value
+        scorer = shared.value
         for batch in batches:
-            z = [float(voters.votes(t or "") @ w[:-1] + w[-1]) for t in batch.column(1).to_pylist()]
-            score = 1 / (1 + np.exp(-np.clip(np.array(z, float), -30, 30)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score, pa.float64())], names=["doc_id", "score"])
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
+                score = [scorer.score(t or "") for t in part.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(score, pa.float64())], names=["doc_id", "score"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     out = rows.mapInArrow(run, "doc_id long, score double")
@@ -170,7 +208,7 @@ def toxic_scores(docs: DataFrame, fitted: tuple[Voters, np.ndarray], threshold:
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     out = toxic_scores(docs, fit(docs, table(spark, sf_dir, "labels")))
-    return out.select("doc_id", held_out().alias("held_out"), "score", "predicted")
+    return out.select("doc_id", held_out(3, 1).alias("held_out"), "score", "predicted")
 
 
 QUERIES = {"op8_toxicity": op8}
