@@ -1,11 +1,12 @@
-"""Exact substring dedup by hashing lines, sentence by sentence (operator 9).
-
-The units of a line are its sentences, short ones joined to the next, so that
-a passage inside an otherwise different line is found and an equal line has
-equal units. Units are normalised and hashed; digests are grouped globally
-with a partial aggregate on the map side, the earliest ranked occurrence is
-kept and the others are cut out of their texts. A hot unit is one row of the
-grouped side; the side of its many occurrences is split by AQE's skew join.
+"""Exact substring dedup by hashing lines and runs of words (operator 9).
+
+Units are whole lines of ``min_words`` words or more and, so that a passage
+with other line breaks or inside another line is found too, runs of ``RUN``
+words chosen by their own hashes. Units are normalised and hashed; digests are
+grouped globally with a partial aggregate on the map side, the earliest ranked
+occurrence is kept and the others are cut out of their texts. The few digests
+that hold a large share of all units are broadcast, so no task gets all
+occurrences of one.
 """
 
 from __future__ import annotations
@@ -24,30 +25,29 @@ from .common import stored, table
 
 WORD = re.compile(r"[^\W_]+")
 LINE = re.compile(r"[^\n\r]+")
-#: a sentence with its end marks; a mark inside a word does not end one
-SENTENCE = re.compile(r"\S.*?(?:[.!?。！？]+(?=\s|$)|$)")
 MARKS = re.compile(r"\S*")
 #: words of a run that is hashed wherever the lines around it break
-RUN = 24
+RUN = 25
+#: digests with one in so many units or more are broadcast: there are no more than that
+HEAVY = 2000
 _UNITS = "h1 long, h2 long, key long, doc_id long, first int, last int"
 
 
 def word_runs(text: str, size: int) -> Iterator[tuple[int, int, list[str]]]:
     """(start, end, words) of runs of ``size`` words, over line breaks: of each
-    ``size`` runs that follow one another the one with the least hash. So any
-    passage of 2 * size - 1 words has the same chosen runs wherever it stands,
-    and chosen runs follow without a gap. A run that overlaps its own copy is
-    left out."""
-    places = [(m.start(), m.end()) for m in WORD.finditer(text)]
-    if len(places) < 2 * size - 1:
+    ``size`` + 1 runs that follow one another the one with the least hash. So
+    any passage of 2 * size words has the same chosen runs wherever it stands.
+    A run that overlaps its own copy is left out."""
+    places = [m.span() for m in WORD.finditer(text)]
+    if len(places) < 2 * size:
         return
     words = [text[a:b].lower() for a, b in places]
-    h = np.array([xxhash.xxh3_64_intdigest(x.encode("utf-8", "surrogatepass")) for x in words], "<u8")
+    h = np.fromiter((xxhash.xxh3_64_intdigest(x.encode("utf-8", "surrogatepass")) for x in words), "<u8", len(words))
     sums = np.zeros(len(h) - size + 1, "<u8")
     for j in range(size):
         sums = sums * np.uint64(0x9E3779B97F4A7C15) + h[j : j + len(sums)]
     sums = (sums ^ (sums >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-    least = np.lib.stride_tricks.sliding_window_view(sums, size).argmin(axis=1) + np.arange(len(sums) - size + 1)
+    least = np.lib.stride_tricks.sliding_window_view(sums, size + 1).argmin(axis=1) + np.arange(len(sums) - size)
     ends: dict[int, int] = {}
     for a in np.unique(least).tolist():
         if ends.get(int(sums[a]), 0) <= a:
@@ -57,28 +57,16 @@ def word_runs(text: str, size: int) -> Iterator[tuple[int, int, list[str]]]:
 
 
 def line_units(text: str, min_words: int) -> Iterator[tuple[int, int, bytes]]:
-    """(start, end, 16-byte digest), by place: the units of each line, and the
-    runs of ``word_runs``. Units of a line are its sentences, those of under
-    ``min_words`` words joined to the next, or at the end of a line to the one
-    before. A line of fewer words has none. Units equal but for case,
-    punctuation and white space have equal digests."""
+    """(start, end, 16-byte digest), by place: the lines of ``min_words`` words
+    or more, and the runs of ``word_runs``.
+    Units equal but for case, punctuation and white space have equal digests."""
     out: dict[tuple[int, int], bytes] = {}
     for first, last, words in word_runs(text, RUN):
         out[first, last] = xxhash.xxh3_128_digest(b" " + " ".join(words).encode("utf-8", "surrogatepass"))
-    for line in LINE.finditer(text):
-        units: list[tuple[int, int, list[str]]] = []
-        start, words = -1, []
-        for m in SENTENCE.finditer(text, line.start(), line.end()):
-            start = m.start() if start < 0 else start
-            words += WORD.findall(m.group().lower())
-            if len(words) >= min_words:
-                units.append((start, m.end(), words))
-                start, words = -1, []
-        if start >= 0 and units:
-            first, _, before = units.pop()
-            units.append((first, line.end(), before + words))
-        for first, last, words in units:
-            out[first, last] = xxhash.xxh3_128_digest(" ".join(words).encode("utf-8", "surrogatepass"))
+    for m in LINE.finditer(text):
+        words = WORD.findall(m.group().lower())
+        if len(words) >= min_words:
+            out[m.span()] = xxhash.xxh3_128_digest(" ".join(words).encode("utf-8", "surrogatepass"))
     yield from ((first, last, d) for (first, last), d in sorted(out.items()))
 
 
@@ -97,66 +85,72 @@ def without_spans(text: str, spans: list[tuple[int, int]]) -> str:
     return "".join([*kept, text[end:]])
 
 
-def repeated_lines(docs: DataFrame, min_words: int = 5) -> DataFrame:
-    """(key, spans): for each text the code point ranges [first, last) of its
-    units that occurred before, in this text or one of a smaller (doc_id, key).
-    ``docs`` has key, doc_id, text. Texts without such units are left out."""
+def repeated_lines(docs: DataFrame, min_words: int = 20) -> DataFrame:
+    """(doc_id, key, spans): for each text the code point ranges [first, last)
+    of its units that occurred before, in this text or one of a smaller
+    (doc_id, key). ``docs`` has key, doc_id, text; key tells the texts of one
+    doc_id apart. Texts without such units are left out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["h1", "h2", "key", "doc_id", "first", "last"]
         types = [pa.int64()] * 4 + [pa.int32()] * 2
         for batch in batches:
-            out: list[list] = [[] for _ in names]
-            for key, doc, text in zip(*(c.to_pylist() for c in batch.columns)):
-                for a, b, d in line_units(text or "", min_words):
-                    row = (int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True))
-                    for c, x in zip(out, (*row, key, doc, a, b)):
-                        c.append(x)
-                if len(out[0]) > 20_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types)], names=names)
-                    out = [[] for _ in names]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types)], names=names)
+            for at in range(0, batch.num_rows, 256):
+                out: list[list] = [[] for _ in names]
+                for key, doc, text in zip(*(c.to_pylist() for c in batch.slice(at, 256).columns)):
+                    for a, b, d in line_units(text or "", min_words):
+                        row = (int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True))
+                        for c, x in zip(out, (*row, key, doc, a, b)):
+                            c.append(x)
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types)], names=names)
 
     units = stored(docs.select("key", "doc_id", "text").mapInArrow(run, _UNITS), "lines")
     rank = F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "key", "first")
     kept = units.groupBy("h1", "h2").agg(F.min(rank).alias("kept"), F.count("*").alias("c")).where("c > 1")
-    again = units.join(kept.select("h1", "h2", "kept"), ["h1", "h2"]).where(~rank.eqNullSafe(F.col("kept")))
-    return again.groupBy("key").agg(F.sort_array(F.collect_set(F.struct("first", "last"))).alias("spans"))
+    kept = stored(kept, "kept")
+    share = max(2, units.count() // HEAVY)
+    heavy = kept.where(F.col("c") >= share).select("h1", "h2", F.col("kept").alias("heavy"))  # HEAVY rows at most
+    light = kept.where(F.col("c") < share).select("h1", "h2", "kept")
+    marked = units.join(F.broadcast(heavy), ["h1", "h2"], "left")
+    again = marked.where("heavy is null").join(light, ["h1", "h2"]).where(~rank.eqNullSafe(F.col("kept"))).select("doc_id", "key", "first", "last")
+    more = marked.where(F.col("heavy").isNotNull() & ~rank.eqNullSafe(F.col("heavy"))).select("doc_id", "key", "first", "last")
+    return again.union(more).groupBy("doc_id", "key").agg(F.sort_array(F.collect_set(F.struct("first", "last"))).alias("spans"))
 
 
-def without_lines(docs: DataFrame, min_words: int = 5) -> DataFrame:
+def without_lines(docs: DataFrame, min_words: int = 20) -> DataFrame:
     """``docs`` with repeated units cut out of ``text``, plus ``removed``:
     array of (first, last), ranges of code points of the original text.
 
-    Units are sentences of lines and runs of ``RUN`` words (``line_units``); a
-    passage of 2 * RUN - 1 words or more is found whatever stands around it,
-    but up to RUN - 1 words at each of its ends may stay. The earliest occurrence, by
-    doc_id (null last) and place, stays. Blanks after a cut unit go with it, and
-    so does the break of an emptied line. Null texts stay null; empty texts and
-    lines of under ``min_words`` words stay as they are but where a run takes them. Rows of equal doc_id
-    and text are one document and come out alike. Empty input gives an empty
-    result. Other columns pass through; columns named ``key``, ``spans`` or
-    ``removed`` are replaced.
+    Units are lines of ``min_words`` words or more and runs of ``RUN`` words
+    (``line_units``). A passage of 2 * RUN words or more is found whatever
+    stands around it, but up to RUN words at each of its ends may stay; shorter
+    repeated lines and sentences stay. The earliest occurrence, by doc_id (null
+    last) and place, stays. Blanks after a cut unit go with it, and so does the
+    break of an emptied line. Null texts stay null; empty texts stay as they
+    are; very long texts count whole. Rows of equal doc_id and text are one
+    document and come out alike. Empty input gives an empty result. Other
+    columns pass; columns named ``key``, ``spans`` or ``removed`` are replaced.
     """
-    docs = docs.drop("key", "spans", "removed").withColumn("key", F.xxhash64("doc_id", "text"))
-    rows = docs.withColumn("text", F.col("text").cast("string")).withColumn("doc_id", F.col("doc_id").cast("long"))
-    spans = repeated_lines(rows, min_words)
-    joined = rows.join(spans, "key", "left")
+    docs = docs.drop("key", "spans", "removed").withColumn("text", F.col("text").cast("string"))
+    rows = docs.withColumn("doc_id", F.col("doc_id").cast("long")).withColumn("key", F.xxhash64("text"))
+    spans = repeated_lines(rows, min_words).select(F.col("doc_id").alias("_doc"), F.col("key").alias("_key"), "spans")
+    joined = rows.join(spans, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("key") == F.col("_key")), "left")
     names = [c for c in rows.columns if c != "key"]
     span = StructType([StructField("first", IntegerType()), StructField("last", IntegerType())])
     schema = StructType(rows.select(*names).schema.fields + [StructField("removed", ArrayType(span))])
     at = names.index("text")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = []
-            for text, spans in zip(batch.column(at).to_pylist(), batch.column(len(names)).to_pylist()):
-                if spans and text is not None:
-                    text = without_spans(text, [(x["first"], x["last"]) for x in spans])
-                texts.append(text)
-            columns = list(batch.columns)
-            columns[at] = pa.array(texts, pa.string())
-            yield pa.RecordBatch.from_arrays(columns, names=[*names, "removed"])
+        for whole in batches:
+            for first in range(0, whole.num_rows, 512):
+                batch, texts = whole.slice(first, 512), []
+                for text, spans in zip(batch.column(at).to_pylist(), batch.column(len(names)).to_pylist()):
+                    if spans and text is not None:
+                        text = without_spans(text, [(x["first"], x["last"]) for x in spans])
+                    texts.append(text)
+                columns = list(batch.columns)
+                columns[at] = pa.array(texts, pa.string())
+                yield pa.RecordBatch.from_arrays(columns, names=[*names, "removed"])
 
     spans = F.coalesce("spans", F.array().cast("array<struct<first:int,last:int>>"))
     return joined.select(*names, spans.alias("removed")).mapInArrow(cut, schema)
