@@ -23,8 +23,9 @@ from pyspark.sql import functions as F
 from .common import stored, table
 
 TERM = re.compile(r"[^\W_]+")
-#: a subset holds a lexicon term with one in so many; subsets of each rate
-RATES, EACH = (64, 256), 16
+#: a subset holds a lexicon term with one in so many; so many subsets of each rate.
+#: Dense subsets tell nearly equal term sets apart, thin ones still agree after large edits.
+RATES = ((4, 8), (64, 12), (256, 12))
 
 
 def terms(text: str) -> np.ndarray:
@@ -70,26 +71,26 @@ class Printer:
     """Fingerprints of term sets under one lexicon."""
 
     def __init__(self, words: np.ndarray):
-        self.words, self.k = words, len(RATES) * EACH
-        self.inside, self.value = [], []
-        for j in range(self.k):
-            z = _mixed(words ^ np.uint64(j * 0x9E3779B97F4A7C15 % 2**64))
-            self.inside.append(z % np.uint64(RATES[j // EACH]) == 0)
-            self.value.append(_mixed(z + np.uint64(1)))
-        self.inside, self.value = np.array(self.inside), np.array(self.value)
+        self.words = words
+        rates = [rate for rate, n in RATES for _ in range(n)]
+        self.k = len(rates)
+        self.inside = np.array([_mixed(words ^ np.uint64(j * 0x9E3779B97F4A7C15 % 2**64)) % np.uint64(r) == 0 for j, r in enumerate(rates)])
 
     def prints(self, t: np.ndarray) -> np.ndarray:
-        """One 32-bit number per subset, 0 where no term falls in it. The sum
-        of well-mixed term hashes stands for the hash of the sorted terms."""
+        """One 32-bit number per subset: the hash of those of the sorted
+        distinct terms ``t`` that are in it, 0 where none is."""
         at = np.searchsorted(self.words, t)
         at = at[np.append(self.words, np.uint64(0))[at] == t] if len(self.words) else at[:0]
-        sums = (self.value[:, at] * self.inside[:, at]).sum(axis=1, dtype=np.uint64)
-        some = self.inside[:, at].any(axis=1)
-        return np.where(some, np.maximum(_mixed(sums) >> np.uint64(32), np.uint64(1)), np.uint64(0)).astype(np.uint32)
+        subset, term = np.nonzero(self.inside[:, at])
+        ends = np.searchsorted(subset, np.arange(self.k + 1)).tolist()
+        kept = self.words[at[term]].tobytes()
+        out = [max(1, xxhash.xxh3_64_intdigest(kept[8 * a : 8 * b], j) >> 32) if b > a else 0 for j, (a, b) in enumerate(zip(ends, ends[1:]))]
+        return np.array(out, np.uint32)
 
     def text(self, text: str) -> tuple[str, np.ndarray]:
-        """(fingerprint, numbers). With no lexicon term in the text, all its
-        terms (or else the text itself) give the one hash."""
+        """(fingerprint, numbers). With no lexicon term in the text, the hash
+        of all its sorted terms (or, without any, of the text) is the one
+        number, so that such texts are not all alike."""
         t = terms(text)
         p = self.prints(t)
         if not p.any():
@@ -149,8 +150,8 @@ def edited_pairs(docs: DataFrame, low: float = 0.002, high: float = 0.2) -> Data
     """Per row: its fingerprint, that of its edited text, and likenesses.
 
     The edited text replaces the last floor(n/2) code points by the first as
-    many of the next row by (doc_id, text), the last row's next being the
-    first. Rows are range-partitioned, so a row's next is in its own partition
+    many of the next row by (doc_id, hash of the text), the last row's next
+    being the first. Rows are range-partitioned, so a row's next is in its own partition
     but for each partition's last, which meets the next partition's first in a
     join of one row per partition. Null texts count as empty, null ids come
     first, repeated rows are rows of their own; a single row is its own next.
@@ -186,7 +187,9 @@ def edited_pairs(docs: DataFrame, low: float = 0.002, high: float = 0.2) -> Data
             out = (last[0], *[None] * 6, pid, 1, last[1])
             yield pa.RecordBatch.from_arrays([pa.array([c], f.type) for c, f in zip(out, kinds)], schema=kinds)
 
-    ordered = rows.repartitionByRange("doc_id", "text").sortWithinPartitions("doc_id", "text")
+    # the range bounds go to the driver, so they are of digests, not texts
+    rows = rows.withColumn("mark", F.xxhash64("text"))
+    ordered = rows.repartitionByRange("doc_id", "mark").sortWithinPartitions("doc_id", "mark", "text").drop("mark")
     done = stored(ordered.mapInArrow(run, _OUT + ", pid long, end int, text string"), "imatch")
     firsts = done.where("end = 0").select("pid", F.col("text").alias("next_text"))
     pids = sorted(r.pid for r in firsts.select("pid").collect())
