@@ -2,15 +2,17 @@
 
 A source's rate is target / size. Every document is taken floor(rate) times;
 the fractional rest is its inclusion probability. The flight phase runs in
-buckets of documents: three undecided documents of a source move along the
-null space of the two balancing equations (tokens, documents) until one of
-them is decided. A few documents of spread sizes wait beside the flight. What
-stays undecided, a dozen documents per bucket and source at most, flies again
-per source; the last dozen of a source land on the choice nearest to the target.
+buckets of a source's documents: three undecided documents move along the null
+space of the two balancing equations (tokens, documents) until one of them is
+decided. A few documents of spread sizes wait beside the flight. What stays
+undecided, a dozen documents a bucket at most, flies again in fewer buckets
+until one is left; its last dozen land on the choice nearest to the target.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -21,7 +23,7 @@ from .common import stored, table
 #: the size of a document: runs of anything but white space
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS, MOST = (5, 2, 1), 3.0
-BUCKET_ROWS = 40_000
+BUCKET_ROWS, CHUNK_ROWS, UNDECIDED = 40_000, 1000, 12
 _EPS = 1e-9
 
 
@@ -106,8 +108,8 @@ def cube_mix(docs: DataFrame, weights=WEIGHTS, most: float = MOST, bucket_rows:
 
     Sources are ordered by code point, null last, and weigh ``weights`` in
     turn. taken = copies * size; copies is 0 to ``most``. Null and empty texts
-    have size 0 and add nothing to any total. Repeated rows are decided one by
-    one. Empty input gives an empty result; other columns are ignored. Reruns
+    have size 0 and add nothing to any total. Very long texts count whole.
+    Repeated rows are decided one by one. Empty input gives an empty result; other columns are ignored. Reruns
     agree: buckets, order and random numbers come from the rows alone. The
     driver sees one row per source.
     """
@@ -117,48 +119,51 @@ def cube_mix(docs: DataFrame, weights=WEIGHTS, most: float = MOST, bucket_rows:
         F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"),
         F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"),
     )
-    rows = stored(rows, "mix")
-    sums = rows.groupBy("source").agg(F.sum("size").alias("s"), F.count("*").alias("n")).collect()
+    rows = stored(rows.groupBy("doc_id", "source", "size").agg(F.count("*").alias("rows")), "mix")
+    sums = rows.groupBy("source").agg(F.sum(F.col("size") * F.col("rows")).alias("s"), F.sum("rows").alias("n")).collect()
     sums.sort(key=lambda r: (r["source"] is None, (r["source"] or "").encode("utf-8", "surrogatepass")))
     sizes = [r["s"] for r in sums]
-    goal = targets(sizes, weights, most)
-    buckets = max(1, -(-sum(r["n"] for r in sums) // bucket_rows))
+    plan = [
+        (r["source"], i, s, t, t / s if s else 0.0, -(-r["n"] // bucket_rows))
+        for i, (r, s, t) in enumerate(zip(sums, sizes, targets(sizes, weights, most)))
+    ]
+    buckets = max((p[-1] for p in plan), default=1)
     plan = spark.createDataFrame(
-        [(r["source"], i, s, t, t / s if s else 0.0) for i, (r, s, t) in enumerate(zip(sums, sizes, goal))],
-        "src string, source_no int, source_size long, target double, rate double",
+        plan, "src string, source_no int, source_size long, target double, rate double, buckets long"
     )
     rows = rows.join(plan, F.col("source").eqNullSafe(F.col("src"))).drop("src")
-    rows = rows.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "size", "source"), F.lit(buckets)))
+    # rows that are equal in all that counts go out in chunks, so no bucket gets a large group of them
+    chunk = F.explode(F.sequence(F.lit(0), F.floor((F.col("rows") - 1) / CHUNK_ROWS)))
+    rows = rows.withColumn("chunk", chunk).withColumn("rows", F.least(F.lit(CHUNK_ROWS), F.col("rows") - F.col("chunk") * CHUNK_ROWS))
+    rows = rows.withColumns({
+        "whole": F.floor(F.col("rate") + 1e-12),
+        "p": F.when(F.col("size") > 0, F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("rate") - F.col("whole")))).otherwise(0.0),
+    })
 
     def fly(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["source_no", "doc_id", "size"], kind="stable", na_position="first")
-        whole = np.floor(group["rate"].to_numpy() + 1e-12)
-        p = np.clip(group["rate"].to_numpy() - whole, 0, 1)
-        p[group["size"].to_numpy() == 0] = 0
-        no, size = group["source_no"].to_numpy(), group["size"].to_numpy()
-        for k in np.unique(no):
-            own = np.flatnonzero(no == k)
-            p[own] = flight_beside(p[own], size[own], int(group["bucket"].iloc[0]) * 1_000_003 + int(k))
-        decided = (p <= _EPS) | (p >= 1 - _EPS)
-        return pd.DataFrame({
-            "doc_id": group["doc_id"], "source": group["source"], "size": size, "source_no": no,
-            "source_size": group["source_size"], "target": group["target"], "bucket": group["bucket"],
-            "copies": np.where(decided, whole + np.round(p), whole).astype("int64"), "p": np.where(decided, -1.0, p),
-        })
-
-    kept = "doc_id long, source string, size long, source_no int, source_size long, target double, bucket long, copies long, p double"
-    flown = stored(rows.groupBy("bucket").applyInPandas(fly, kept), "flown")
-
-    def land(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["bucket", "doc_id", "size"], kind="stable", na_position="first")
-        size = group["size"].to_numpy()
-        p = landing(flight_beside(group["p"].to_numpy(), size, int(group["source_no"].iloc[0])), size)
-        return group.assign(copies=group["copies"] + p.astype("int64"), p=-1.0)
-
-    landed = flown.where("p >= 0").groupBy("source_no").applyInPandas(land, kept)
-    out = flown.where("p < 0").union(landed)
-    return out.select(
-        "doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken")
+        group = group.sort_values(["doc_id", "size", "chunk"], kind="stable", na_position="first")
+        group = group.loc[group.index.repeat(group["rows"])].assign(rows=1)
+        p, size = group["p"].to_numpy(), group["size"].to_numpy()
+        p = flight_beside(p, size, int(group["bucket"].iloc[0]) * 1_000_003 + int(group["source_no"].iloc[0]))
+        if group["buckets"].iloc[0] == 1:
+            p = landing(p, size)
+        return group.assign(p=p)
+
+    done = []
+    while True:
+        row_hash = F.xxhash64(F.lit(buckets), "doc_id", "size", "source", "chunk")
+        rows = rows.withColumn("bucket", F.pmod(row_hash, F.col("buckets")))
+        flown = stored(rows.groupBy("source_no", "bucket").applyInPandas(fly, rows.schema), "flown")
+        open_ = (F.col("p") > _EPS) & (F.col("p") < 1 - _EPS)
+        done.append(flown.where(~open_))
+        if buckets <= 1:
+            break
+        buckets = -(-UNDECIDED * buckets // bucket_rows)
+        fewer = F.ceil(F.col("buckets") * UNDECIDED / bucket_rows)
+        rows = flown.where(open_).drop("bucket").withColumn("buckets", fewer)
+    copies = (F.col("whole") + F.round("p")).cast("long")
+    return reduce(DataFrame.union, done).select(
+        "doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken")
     )
 
 
