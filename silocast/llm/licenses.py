@@ -148,7 +148,7 @@ def license_scan(docs: DataFrame, known: DataFrame | None = None) -> DataFrame:
     """(doc_id, canonical_sha256, license, line_licenses) per row of ``docs``.
 
     license: the known licence whose canonical text the whole text has, else
-    null. line_licenses: the sorted distinct licences of its lines, joined by
+    null; a very long text counts whole. line_licenses: the sorted distinct licences of its lines, joined by
     a comma, empty without any. A null or empty text has the digest of the
     empty string and no licence. Repeated rows stay; null ids stay; empty
     input gives an empty result; other columns are ignored. The known digests
@@ -158,14 +158,15 @@ def license_scan(docs: DataFrame, known: DataFrame | None = None) -> DataFrame:
     known = F.broadcast(known_licenses(spark) if known is None else known)
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64("doc_id", "text").alias("key")
+        F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("key")
     )
     whole = rows.select("doc_id", "key", F.sha2(canonical(F.col("text")), 256).alias("canonical_sha256"))
     whole = whole.join(known, F.col("canonical_sha256") == F.col("digest"), "left").drop("digest")
-    lines = rows.select("key", F.explode(F.split("text", "\n")).alias("line"))
-    lines = lines.select("key", F.sha2(canonical(F.col("line")), 256).alias("digest")).join(known, "digest")
-    lines = lines.groupBy("key").agg(F.array_join(F.array_sort(F.collect_set("license")), ",").alias("line_licenses"))
-    out = whole.join(lines, "key", "left")
+    lines = rows.select("doc_id", "key", F.explode(F.split("text", "\n")).alias("line"))
+    lines = lines.select(F.col("doc_id").alias("of"), F.col("key").alias("text_key"), F.sha2(canonical(F.col("line")), 256).alias("digest"))
+    lines = lines.join(known, "digest").groupBy("of", "text_key")
+    lines = lines.agg(F.array_join(F.array_sort(F.collect_set("license")), ",").alias("line_licenses"))
+    out = whole.join(lines, F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("key") == F.col("text_key")), "left")
     return out.select("doc_id", "canonical_sha256", "license", F.coalesce("line_licenses", F.lit("")).alias("line_licenses"))
 
 
@@ -191,8 +192,7 @@ docs AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
 lines AS (SELECT doc_id, text, unnest(string_split(text, chr(10))) AS line FROM docs),
 found AS (
   SELECT l.doc_id, l.text, string_agg(DISTINCT k.license, ',' ORDER BY k.license) AS line_licenses
-  FROM lines l JOIN known k ON {form("l.line")} = k.digest
-  WHERE regexp_matches(l.line, '(?i)licen[cs]e|permission') GROUP BY ALL)
+  FROM lines l JOIN known k ON {form("l.line")} = k.digest GROUP BY ALL)
 SELECT d.doc_id, {form("d.text")} AS canonical_sha256, k.license, coalesce(f.line_licenses, '') AS line_licenses
 FROM docs d LEFT JOIN known k ON {form("d.text")} = k.digest
 LEFT JOIN found f ON f.doc_id = d.doc_id AND f.text = d.text
