@@ -224,7 +224,7 @@ def test_passages_with_other_borders(spark):
     for i, width in enumerate((60, 60, 7, 3, 13)):
         lines = "\n".join(" ".join(passage[at : at + width]) for at in range(0, 60, width))
         rows.append((i, f"{' '.join(words(9))} {lines} {' '.join(words(9))}. The end of number {i} is here."))
-    rows.append((9, " ".join(["again and"] * 40)))
+    rows.append((9, " ".join(["again"] * 80)))
     out = {r.doc_id: r for r in linededup.without_lines(spark.createDataFrame(rows, "doc_id int, text string")).collect()}
     assert out[0].text == rows[0][1]
     assert len(out[9].text.split()) >= linededup.RUN and rows[-1][1].startswith(out[9].text.strip())  # one copy of the run stays
