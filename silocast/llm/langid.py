@@ -52,9 +52,10 @@ def chance(salt: str, *columns: str) -> Column:
 
 def sampled(rows: DataFrame, most: int, by: str, salt: str, *columns: str) -> DataFrame:
     """About ``most`` rows of each value of ``by``, chosen by a hash of
-    ``columns``; all rows of a value that has no more. ``by`` has few values."""
+    ``columns``; all rows of a value that has no more. ``by`` has few values
+    (languages, labels), so the table of their numbers is broadcast."""
     sizes = rows.groupBy(F.col(by).alias("_by")).agg(F.count("*").alias("_n"))
-    picked = rows.join(sizes, F.col(by).eqNullSafe(F.col("_by")))
+    picked = rows.join(F.broadcast(sizes), F.col(by).eqNullSafe(F.col("_by")))
     return picked.where(chance(salt, *columns) < F.lit(float(most)) / F.col("_n")).drop("_by", "_n")
 
 
