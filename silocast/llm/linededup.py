@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
-from .common import stored, table
+from .common import discard, stored, table
 
 WORD = re.compile(r"[^\W_]+")
 LINE = re.compile(r"[^\n\r]+")
@@ -114,7 +114,11 @@ def repeated_lines(docs: DataFrame, min_words: int = 20) -> DataFrame:
     marked = units.join(F.broadcast(heavy), ["h1", "h2"], "left")
     again = marked.where("heavy is null").join(light, ["h1", "h2"]).where(~rank.eqNullSafe(F.col("kept"))).select("doc_id", "key", "first", "last")
     more = marked.where(F.col("heavy").isNotNull() & ~rank.eqNullSafe(F.col("heavy"))).select("doc_id", "key", "first", "last")
-    return again.union(more).groupBy("doc_id", "key").agg(F.sort_array(F.collect_set(F.struct("first", "last"))).alias("spans"))
+    spans = again.union(more).groupBy("doc_id", "key").agg(F.sort_array(F.collect_set(F.struct("first", "last"))).alias("spans"))
+    spans = stored(spans, "spans")
+    discard(units)
+    discard(kept)
+    return spans
 
 
 def without_lines(docs: DataFrame, min_words: int = 20) -> DataFrame:

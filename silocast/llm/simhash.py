@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import connected_components, stored, table
+from .common import connected_components, discard, stored, table
 
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -404,62 +404,83 @@ def band_keys(shingles: np.ndarray) -> np.ndarray:
     return np.array([xxhash.xxh64_intdigest(r.tobytes(), i) for i, r in enumerate(rows)], dtype=np.uint64).view(np.int64)
 
 
-def shingle_sets(docs: DataFrame, k: int) -> DataFrame:
-    """(doc_id, key, node, sig, n, bands, shingles) per row of ``docs``
-    (doc_id, key, text): the distinct ``k``-word shingles as hashes, their
-    number, their band keys, a hash of the set and the 64-bit fingerprint."""
+def shingle_sketches(docs: DataFrame, k: int) -> DataFrame:
+    """(doc_id, key, node, sig, n, bands) per row of ``docs`` (doc_id, key,
+    text): of the set of distinct ``k``-word shingles a hash, the 64-bit
+    fingerprint, the size and the band keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                out: list[list] = [[] for _ in range(5)]
+                out: list[list] = [[] for _ in range(4)]
                 for text in part.column(2).to_pylist():
                     h = shingle_hashes(normalized(text), k)
                     own = np.unique(h)
-                    row = (
-                        xxhash.xxh3_64_intdigest(own.tobytes(), SEED) - 2**63, sign_bits(h).tobytes(), len(own),
-                        band_keys(own), own.view(np.int64),
-                    )
+                    row = xxhash.xxh3_64_intdigest(own.tobytes(), SEED) - 2**63, sign_bits(h).tobytes(), len(own), band_keys(own)
                     for c, x in zip(out, row):
                         c.append(x)
-                types = (pa.int64(), pa.binary(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64()))
+                types = (pa.int64(), pa.binary(), pa.int32(), pa.list_(pa.int64()))
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), part.column(1), *(pa.array(c, t) for c, t in zip(out, types))],
-                    names=["doc_id", "key", "node", "sig", "n", "bands", "shingles"],
+                    names=["doc_id", "key", "node", "sig", "n", "bands"],
                 )
 
-    schema = "doc_id long, key long, node long, sig binary, n int, bands array<long>, shingles array<long>"
+    schema = "doc_id long, key long, node long, sig binary, n int, bands array<long>"
     return docs.select("doc_id", "key", "text").mapInArrow(run, schema)
 
 
+def shingle_sets(texts: DataFrame, k: int) -> DataFrame:
+    """(node, shingles) per row of ``texts`` (node, text): the sorted hashes of
+    the distinct ``k``-word shingles."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                sets = [np.unique(shingle_hashes(normalized(t), k)).view(np.int64) for t in part.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["node", "shingles"])
+
+    return texts.select("node", "text").mapInArrow(run, "node long, shingles array<long>")
+
+
 def similar_components(docs: DataFrame, k: int = 5, low: float = 0.8, budget: int = 2) -> DataFrame:
-    """(doc_id, key, component) per row of ``docs`` (doc_id, key, text).
+    """(doc_id, key, component) per row of ``docs`` (doc_id, key, text); rows
+    of equal key have equal texts.
 
     Rows are linked if the Jaccard similarity of their sets of ``k``-word
     shingles is ``low`` or more; component is equal within a component and
     differs between two. Candidates are pairs that share a band of least hashes
     or whose fingerprints differ in ``budget`` bits at most; every link is
-    verified on the sets. A band is first linked as a star. Then all its pairs
-    that are not yet in one component are verified, so a large group of near
-    copies is never compared pair by pair, and no pair of a band is left out.
-    Texts without words are one component. Null ids and repeated rows stay.
+    verified on the sets, which are made for candidates alone. A band is first
+    linked as a star, whose centre is the same for bands of the same members.
+    Then all its pairs that are not yet in one component are verified, so a
+    large group of near copies is never compared pair by pair, and no pair of
+    a band is left out. Texts without words are one component. Null ids and
+    repeated rows stay.
     """
-    rows = stored(shingle_sets(docs, k), "shingles")
-    classes = stored(rows.dropDuplicates(["node"]).select("node", "sig", "n", "bands", "shingles"), "sets")
+    rows = stored(shingle_sketches(docs, k), "sketches")
+    classes = rows.groupBy("node").agg(F.min("key").alias("key"), *(F.first(c).alias(c) for c in ("sig", "n", "bands")))
+    classes = stored(classes, "classes")
     members = classes.select("node", "n", F.explode("bands").alias("band"))
-    shared = members.groupBy("band").agg(
-        F.count("*").alias("c"), F.min_by(F.struct("node", "n"), F.xxhash64("band", "node")).alias("first")
-    )
+    shared = members.groupBy("band").agg(F.count("*").alias("c"), F.min_by(F.struct("node", "n"), F.xxhash64("node")).alias("first"))
     members = stored(members.join(shared.where("c > 1").drop("c"), "band"), "bands")
+    made = [rows, classes, members]
 
     def verified(pairs: DataFrame) -> DataFrame:
         pairs = stored(pairs.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct(), "pairs")
-        a = classes.select(F.col("node").alias("src"), F.col("shingles").alias("a"))
-        b = classes.select(F.col("node").alias("dst"), F.col("shingles").alias("b"))
+        wanted = pairs.select(F.col("src").alias("node")).union(pairs.select("dst")).distinct().join(classes.select("node", "key"), "node")
+        texts = docs.select("key", "text").join(wanted, "key").dropDuplicates(["node"])
+        sets = stored(shingle_sets(texts, k), "sets")
+        a = sets.select(F.col("node").alias("src"), F.col("shingles").alias("a"))
+        b = sets.select(F.col("node").alias("dst"), F.col("shingles").alias("b"))
         both = F.size(F.array_intersect("a", "b"))
         ok = both >= F.lit(low) * (F.size("a") + F.size("b") - both)
-        return stored(pairs.join(a, "src").join(b, "dst").where(ok).select("src", "dst"), "links")
+        links = stored(pairs.join(a, "src").join(b, "dst").where(ok).select("src", "dst"), "links")
+        discard(sets)
+        discard(pairs)
+        made.append(links)
+        return links
 
     def near(m, n):  # sets of other sizes cannot reach ``low``
         return F.least(m, n) >= F.lit(low) * F.greatest(m, n)
@@ -471,14 +492,19 @@ def similar_components(docs: DataFrame, k: int = 5, low: float = 0.8, budget: in
     at = members.select("band", "node", "n").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     open_ = at.groupBy("band").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x < y").select("band")
     at = stored(at.join(open_, "band"), "open")
+    made += [roots, at]
     x, y = at.alias("x"), at.alias("y")
     pairs = x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.root") < F.col("y.root")) & near(F.col("x.n"), F.col("y.n")))
     more = verified(pairs.select(F.col("x.node").alias("src"), F.col("y.node").alias("dst")))
     if not more.isEmpty():
         roots = connected_components(links.union(more))
-    return rows.select("doc_id", "key", "node").join(roots, "node", "left").select(
+    out = rows.select("doc_id", "key", "node").join(roots, "node", "left").select(
         "doc_id", "key", F.coalesce("root", "node").alias("component")
     )
+    out = stored(out, "components")
+    for df in made:
+        discard(df)
+    return out
 
 
 # ------------------------------------------------------------ the operators
