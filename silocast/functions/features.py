@@ -1,4 +1,4 @@
-"""Calendar, cyclic, spatial and label features."""
+"""Calendar, cyclic, spatial and label features, and feature frames."""
 
 from __future__ import annotations
 
@@ -7,9 +7,29 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Other names of the time column; columns that are no features;
+#: columns unknown for days to come.
+TIME_NAMES = ("timestamp", "datetime", "date", "time")
+NOT_FEATURES = (
+    "temperature_grain", "detection_time", "granary_id", "heap_id", "forecast_day", "line_no", "layer_no", "line", "layer",
+)
+ENVIRONMENT = ("temperature_inside", "temperature_outside", "humidity_warehouse", "humidity_outside")
+MEASURED = ("avg_in_temp", "max_temp", "min_temp")
+
+
+def time_column(df: DataFrame, at: str = "detection_time") -> str:
+    """``at`` if it is there, else the first of the usual names."""
+    for name in (at, *TIME_NAMES):
+        if name in df.columns:
+            return name
+    raise KeyError(f"no column {at!r} and none of {', '.join(TIME_NAMES)}")
+
 
 def time_features(df: DataFrame, at: str = "detection_time") -> DataFrame:
+    at = time_column(df, at)
     t = F.col(at)
+    if dict(df.dtypes)[at] == "string":
+        t = F.try_to_timestamp(t).cast("timestamp_ntz")
     df = df.withColumns({"year": F.year(t), "month": F.month(t), "day": F.dayofmonth(t), "hour": F.hour(t)})
     turn = {"month": 12, "hour": 24}
     for name, n in turn.items():
@@ -19,15 +39,17 @@ def time_features(df: DataFrame, at: str = "detection_time") -> DataFrame:
 
 
 def spatial_features(df: DataFrame) -> DataFrame:
-    """grid_index, where all three grid columns exist."""
+    """grid_index, where all three grid columns exist; null if one is null."""
     axes = [f"grid_{a}" for a in "xyz"]
     if not set(axes) <= set(df.columns):
         return df
-    return df.withColumn("grid_index", F.concat_ws("_", *[F.col(a).cast("int").cast("string") for a in axes]))
+    x, y, z = (F.col(a).cast("int").cast("string") for a in axes)
+    return df.withColumn("grid_index", F.concat(x, F.lit("_"), y, F.lit("_"), z))
 
 
 def label_levels(df: DataFrame, column: str) -> DataFrame:
-    """(level, code): sorted distinct values numbered from 0."""
+    """(level, code): sorted distinct values numbered from 0. One row per
+    distinct value is numbered, not one per row of ``df``."""
     levels = df.select(F.col(column).alias("level")).na.drop().distinct()
     return levels.withColumn("code", F.row_number().over(Window.orderBy("level")) - 1)
 
@@ -35,5 +57,41 @@ def label_levels(df: DataFrame, column: str) -> DataFrame:
 def encode_labels(df: DataFrame, column: str, levels: DataFrame | None = None) -> DataFrame:
     """``column``_code from ``levels`` (default: its own); unseen or null: -1."""
     levels = label_levels(df, column) if levels is None else levels
-    out = df.join(levels, F.col(column) == F.col("level"), "left")
-    return out.withColumn(f"{column}_code", F.coalesce("code", F.lit(-1))).drop("level", "code")
+    levels = levels.select(F.col("level").alias("_level"), F.col("code").alias("_code"))
+    out = df.join(levels, F.col(column) == F.col("_level"), "left")
+    return out.withColumn(f"{column}_code", F.coalesce("_code", F.lit(-1))).drop("_level", "_code")
+
+
+def fit_dictionary(df: DataFrame, columns: list[str]) -> DataFrame:
+    """(column, level, code) of the sorted distinct values of ``columns``."""
+    values = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).alias("level")) for c in columns])).alias("x"))
+    values = values.select("x.column", "x.level").where("level is not null").distinct()
+    return values.withColumn("code", F.row_number().over(Window.partitionBy("column").orderBy("level")) - 1)
+
+
+def encode(df: DataFrame, dictionary: DataFrame, columns: list[str]) -> DataFrame:
+    """``columns`` replaced by their codes in ``dictionary``; unseen or null: -1."""
+    names = df.columns
+    for c in columns:
+        df = encode_labels(df, c, dictionary.where(F.col("column") == c)).drop(c).withColumnRenamed(f"{c}_code", c)
+    return df.select(*names)
+
+
+def future_safe(df: DataFrame) -> DataFrame:
+    """Without the columns that are unknown for days to come."""
+    return df.drop(*ENVIRONMENT, *MEASURED)
+
+
+def select_features(df: DataFrame, target: str = "temperature_grain", keep: tuple = ("row_id",)) -> DataFrame:
+    """Features, text among them as codes of the frame itself, the target as
+    ``target`` and the columns ``keep``."""
+    text = [c for c, t in df.dtypes if t == "string" and c not in (*NOT_FEATURES, *keep)]
+    out = encode(df, fit_dictionary(df, text), text) if text else df
+    features = [c for c in df.columns if c not in (*NOT_FEATURES, *keep, target)]
+    return out.select(*[c for c in keep if c in df.columns], *features, F.col(target).alias("target"))
+
+
+def align_features(df: DataFrame, names: list[str], keep: tuple = ()) -> DataFrame:
+    """The columns ``names`` in that order; one that is absent is 0, nulls
+    stay, others go."""
+    return df.select(*keep, *[F.col(c) if c in df.columns else F.lit(0.0).alias(c) for c in names])

@@ -2,20 +2,33 @@
 
 from __future__ import annotations
 
+import glob
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Export name to canonical name.
 RENAMES = {
     "batch": "detection_time", "temp": "temperature_grain", "x": "grid_x", "y": "grid_y", "z": "grid_z",
     "indoor_temp": "temperature_inside", "outdoor_temp": "temperature_outside",
     "indoor_humidity": "humidity_warehouse", "outdoor_humidity": "humidity_outside",
-    "storepoint_id": "granary_id", "storeId": "heap_id", "storeType": "warehouse_type",
+    "storeType": "warehouse_type", "storepointName": "granary_id", "storeName": "heap_id",
+    "kdjd": "longitude", "kdwd": "latitude", "kqdz": "address_cn", "storeId": "warehouse_id", "locatType": "location_type",
 }
+#: Canonical columns that hold numbers, and grid positions.
+NUMBERS = (
+    "temperature_grain", "temperature_inside", "temperature_outside", "humidity_warehouse", "humidity_outside",
+    "avg_in_temp", "max_temp", "min_temp", "longitude", "latitude",
+)
+POSITIONS = ("grid_x", "grid_y", "grid_z", "line_no", "layer_no")
+ISO_TIME = "yyyy-MM-dd'T'HH:mm:ss[.SSSSSS]"
+TIME_FORMATS = ("yyyy/MM/dd HH:mm:ss", "yyyy/M/d H:mm", "yyyy/MM/dd")
 
 #: The readings as SQL over ``events``, for Spark and DuckDB alike.
 READINGS_SQL = """
-SELECT event_id AS row_id, ts AS detection_time,
+SELECT event_id AS row_id, ts AS detection_time, event_id AS detection_cycle,
   CONCAT('G', CAST(user_id % 3 AS STRING)) AS granary_id,
   CONCAT('G', CAST(user_id % 3 AS STRING), '-H', CAST(CAST(floor(user_id / 3e0) AS BIGINT) % 2 AS STRING)) AS heap_id,
   CAST(CAST(floor(user_id / 6e0) AS BIGINT) % 3 AS INT) AS grid_x,
@@ -24,8 +37,12 @@ SELECT event_id AS row_id, ts AS detection_time,
   CASE WHEN event_id % 17 = 0 THEN NULL WHEN event_id % 23 = 0 THEN -999e0
        ELSE 12e0 + least(value, 180e0) / 10e0 END AS temperature_grain,
   CASE WHEN event_id % 11 = 0 THEN NULL ELSE 14e0 + least(value, 180e0) / 12e0 END AS temperature_inside,
+  20e0 + CAST(event_id % 13 AS DOUBLE) - 6e0 AS temperature_outside,
+  60e0 + CAST(event_id % 31 AS DOUBLE) AS humidity_warehouse,
+  65e0 + CAST(event_id % 29 AS DOUBLE) AS humidity_outside,
   CASE event_type WHEN 'click' THEN 'Wheat' WHEN 'view' THEN 'Japonica rice'
-    WHEN 'signup' THEN 'Yellow corn' WHEN 'purchase' THEN 'Soybeans' WHEN 'error' THEN '-' ELSE NULL END AS grain_type
+    WHEN 'signup' THEN 'Yellow corn' WHEN 'purchase' THEN 'Soybeans' WHEN 'error' THEN '-' ELSE NULL END AS grain_type,
+  'flat' AS warehouse_type
 FROM events
 """
 
@@ -36,18 +53,75 @@ def sensor_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(READINGS_SQL.replace("FROM events", "FROM {events}"), events=events)
 
 
-def read_csv(spark: SparkSession, path: str, schema=None, encoding: str = "UTF-8") -> DataFrame:
-    """CSV with a header; without ``schema`` every column is text."""
-    reader = spark.read.option("header", True).option("encoding", encoding)
+def any_charset(spark: SparkSession, encoding: str) -> None:
+    """Lets Spark use Java's charsets, if ``encoding`` is not one of its own."""
+    if encoding.upper() not in ("UTF-8", "US-ASCII", "ISO-8859-1"):
+        spark.conf.set("spark.sql.legacy.javaCharsets", "true")
+
+
+def read_csv(spark: SparkSession, path, schema=None, encoding: str = "UTF-8") -> DataFrame:
+    """CSV with a header; without ``schema`` every column is text. GBK needs
+    Spark's Java charsets, which are switched on for the session."""
+    any_charset(spark, encoding)
+    reader = spark.read.option("header", True).option("encoding", encoding).option("timestampNTZFormat", ISO_TIME)
     return (reader.schema(schema) if schema is not None else reader).csv(path)
 
 
-def standardize(df: DataFrame) -> DataFrame:
-    """Canonical names, a parsed timestamp and numeric columns; text that does
-    not parse becomes null; unknown columns pass."""
+def parse_time(text) -> F.Column:
+    """A timestamp without zone from ISO text or any of ``TIME_FORMATS``, else null."""
+    return F.coalesce(text.try_cast("timestamp_ntz"), *[F.try_to_timestamp(text, F.lit(f)).cast("timestamp_ntz") for f in TIME_FORMATS])
+
+
+def standardize(df: DataFrame, strict: bool = False) -> DataFrame:
+    """Canonical names, a parsed ``detection_time``, numbers as doubles and
+    positions as integers, whichever of them are there. Text that does not
+    parse becomes null; with ``strict`` an unreadable or missing time is an
+    error. Unknown columns pass."""
     df = df.toDF(*[c.strip() for c in df.columns]).withColumnsRenamed(RENAMES)
-    numbers = [c for c in df.columns if c.startswith(("temperature", "humidity", "grid_"))]
-    casts = {c: F.col(c).cast("string").try_cast("double") for c in numbers}
-    if "detection_time" in df.columns:
-        casts["detection_time"] = F.try_to_timestamp(F.col("detection_time").cast("string"))
+    text = {c: F.col(c).cast("string") for c in df.columns}
+    casts = {c: text[c].try_cast("double") for c in NUMBERS if c in text}
+    casts = {c: F.when(~F.isnan(v), v) for c, v in casts.items()}
+    casts |= {c: text[c].try_cast("double").try_cast("int") for c in POSITIONS if c in text}
+    if "detection_time" in text and dict(df.dtypes)["detection_time"] == "string":
+        at = parse_time(F.col("detection_time"))
+        if strict:
+            at = F.when(F.col("detection_time").isNull() | at.isNull(), F.raise_error("unreadable detection_time")).otherwise(at)
+        casts["detection_time"] = at
+    elif strict and "detection_time" not in text:
+        raise ValueError("no detection_time column")
     return df.withColumns(casts)
+
+
+def load_readings(spark: SparkSession, path, encoding: str = "UTF-8") -> DataFrame:
+    """Readings of CSV files. A file in the export format (it has ``temp`` and
+    ``batch``) is standardized; of a canonical one only the types are. A file
+    without a header gives an empty frame without columns."""
+    try:
+        df = read_csv(spark, path, encoding=encoding)
+    except Exception as e:  # Spark cannot infer columns of an empty file
+        if "UNABLE_TO_INFER_SCHEMA" not in str(e):
+            raise
+        return spark.createDataFrame([], StructType([]))
+    names = {c.strip() for c in df.columns}
+    return standardize(df) if {"temp", "batch"} <= names or "detection_time" in names else df
+
+
+def read_dataset_dir(spark: SparkSession, path: str, dataset: str | None = None) -> DataFrame:
+    """All CSV datasets below ``path`` (files or folders named ``*.csv``) with
+    a column ``dataset``, the name without its ending; or one of them."""
+    df = read_csv(spark, f"{path}/*.csv")
+    name = F.regexp_extract(F.col("_metadata.file_path"), r"/([^/]+)\.csv(?:/[^/]+)?$", 1)
+    df = df.withColumn("dataset", name)
+    return df if dataset is None else df.where(F.col("dataset") == dataset)
+
+
+def local_datasets(path: str) -> list[str]:
+    """Sorted names of the CSV datasets of a local folder, as a user picks one."""
+    return sorted(os.path.basename(p)[: -len(".csv")] for p in glob.glob(f"{path}/*.csv"))
+
+
+def write_csv(df: DataFrame, path: str, encoding: str = "UTF-8") -> None:
+    """CSV with a header, times to the microsecond; one folder of part files."""
+    any_charset(df.sparkSession, encoding)
+    writer = df.write.mode("overwrite").option("header", True).option("timestampNTZFormat", ISO_TIME)
+    writer.option("encoding", encoding).csv(path)
