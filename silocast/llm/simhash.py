@@ -453,8 +453,8 @@ def similar_components(docs: DataFrame, k: int = 5, low: float = 0.8, budget: in
     differs between two. Candidates are pairs that share a band of least hashes
     or whose fingerprints differ in ``budget`` bits at most; every link is
     verified on the sets, which are made for candidates alone. A band is first
-    linked as a star, whose centre is the same for bands of the same members.
-    Then all its pairs that are not yet in one component are verified, so a
+    linked as a star around its most central member, then, where that leaves
+    it in parts, around a member chosen by hash. Then all its pairs that are not yet in one component are verified, so a
     large group of near copies is never compared pair by pair, and no pair of
     a band is left out. Texts without words are one component. Null ids and
     repeated rows stay.
@@ -463,9 +463,11 @@ def similar_components(docs: DataFrame, k: int = 5, low: float = 0.8, budget: in
     classes = rows.groupBy("node").agg(F.min("key").alias("key"), *(F.first(c).alias(c) for c in ("sig", "n", "bands")))
     classes = stored(classes, "classes")
     members = classes.select("node", "n", F.explode("bands").alias("band"))
-    shared = members.groupBy("band").agg(F.count("*").alias("c"), F.min_by(F.struct("node", "n"), F.xxhash64("node")).alias("first"))
-    members = stored(members.join(shared.where("c > 1").drop("c"), "band"), "bands")
-    made = [rows, classes, members]
+    sizes = members.groupBy("band").agg(F.count("*").alias("c")).where("c > 1")
+    bands = stored(members.join(sizes, "band"), "bands")
+    central = bands.groupBy("node").agg(F.sum("c").alias("weight"))
+    members = stored(bands.drop("c").join(central, "node"), "members")
+    made = [rows, classes, bands, members]
 
     def verified(pairs: DataFrame) -> DataFrame:
         pairs = stored(pairs.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct(), "pairs")
@@ -485,14 +487,27 @@ def similar_components(docs: DataFrame, k: int = 5, low: float = 0.8, budget: in
     def near(m, n):  # sets of other sizes cannot reach ``low``
         return F.least(m, n) >= F.lit(low) * F.greatest(m, n)
 
-    star = members.where((F.col("node") != F.col("first.node")) & near(F.col("n"), F.col("first.n")))
-    star = star.select(F.col("node").alias("src"), F.col("first.node").alias("dst"))
-    links = verified(star.union(trie_join(classes.select("node", "sig"), budget, turns=budget + 1).select("src", "dst")))
-    roots = stored(connected_components(links), "roots")
-    at = members.select("band", "node", "n").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    open_ = at.groupBy("band").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x < y").select("band")
-    at = stored(at.join(open_, "band"), "open")
-    made += [roots, at]
+    def star(of: DataFrame, *rank) -> DataFrame:
+        """Pairs of each member of a band and the band's highest by ``rank``."""
+        hubs = of.groupBy("band").agg(F.max_by(F.struct("node", "n", "root"), F.struct(*rank)).alias("hub"))
+        pairs = of.join(hubs, "band").where((F.col("root") != F.col("hub.root")) & near(F.col("n"), F.col("hub.n")))
+        return pairs.select(F.col("node").alias("src"), F.col("hub.node").alias("dst"))
+
+    def joined(links: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """The roots of ``links``, and the members of bands that have several."""
+        roots = stored(connected_components(links), "roots")
+        at = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        open_ = at.groupBy("band").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x < y").select("band")
+        at = stored(at.join(open_, "band"), "open")
+        made.extend([roots, at])
+        return roots, at
+
+    # the text that near copies were made from is in the largest bands: it is the centre first
+    first = star(members.withColumn("root", F.col("node")), "weight", F.xxhash64("node"))
+    links = verified(first.union(trie_join(classes.select("node", "sig"), budget, turns=budget + 1).select("src", "dst")))
+    roots, at = joined(links)
+    links = links.union(verified(star(at, F.xxhash64("node"))))
+    roots, at = joined(links)
     x, y = at.alias("x"), at.alias("y")
     pairs = x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.root") < F.col("y.root")) & near(F.col("x.n"), F.col("y.n")))
     more = verified(pairs.select(F.col("x.node").alias("src"), F.col("y.node").alias("dst")))
