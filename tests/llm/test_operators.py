@@ -253,17 +253,22 @@ def test_vectors(spark):
     assert vectors.near_vectors(df.limit(0)).count() == 0
 
 
-def test_links_that_the_walk_misses_are_counted(spark, monkeypatch):
-    """With a walk that finds next to nothing, n_links are still those of all pairs in a shard."""
-    monkeypatch.setattr(vectors, "BEAM", 1)
-    monkeypatch.setattr(vectors, "DEGREE", 1)
+def test_links_over_many_shards(spark, monkeypatch):
+    """Dense clusters, several shards and blocks: recall, and sums that agree with components."""
+    monkeypatch.setattr(vectors, "SHARD_ROWS", 150)
+    monkeypatch.setattr(vectors, "BLOCK_ROWS", 200)
     rng = np.random.default_rng(4)
-    base = rng.normal(size=(40, 16))
-    x = np.concatenate([base + 0.05 * rng.normal(size=base.shape) for _ in range(6)])
+    base = rng.normal(size=(20, 24))
+    base /= np.linalg.norm(base, axis=1)[:, None]
+    x = base[rng.integers(0, 20, 1500)] + 0.045 * rng.normal(size=(1500, 24))
     df = spark.createDataFrame([(i, [float(c) for c in v]) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
     y = x / np.linalg.norm(x, axis=1)[:, None]
-    found = {r.vec_id: r.n_links for r in vectors.near_vectors(df).collect()}
-    assert [found[i] for i in range(len(x))] == ((y @ y.T >= 0.95).sum(axis=1) - 1).tolist()
+    true = (y @ y.T >= 0.95).sum(axis=1) - 1
+    got = {r.vec_id: r for r in vectors.near_vectors(df).collect()}
+    found = np.array([got[i].n_links for i in range(len(x))])
+    assert (found <= true).all() and found.sum() >= 0.95 * true.sum()
+    size = collections.Counter(r.component_id for r in got.values())
+    assert all((r.n_links > 0) == (size[r.component_id] > 1) for r in got.values())
 
 
 def test_langid_scores_whole_words():
