@@ -27,9 +27,10 @@ from .langid import chance
 from .simhash import Forest
 
 #: rows of a shard (about), of a block; centres; how much less near a further centre may be, and how many there may be
-SHARD_ROWS, BLOCK_ROWS, CENTRES, SLACK, OVERLAP = 1000, 1500, 4096, 0.1, 6
-#: links a node keeps in a shard, candidates for them, links to far nodes, expansions before the range, medoids
-DEGREE, CANDIDATES, FAR, STEPS, MEDOIDS, ALPHA = 16, 32, 4, 4, 16, 1.2
+SHARD_ROWS, BLOCK_ROWS, CENTRES, SLACK, OVERLAP = 1000, 1500, 4096, 0.1, 4
+#: links a node keeps in a shard, candidates for them, links to far nodes, expansions before the range, medoids;
+#: links of this similarity or more lead out of a shard: longer ones cannot end at a partner
+DEGREE, CANDIDATES, FAR, STEPS, MEDOIDS, ALPHA, OUT = 16, 32, 4, 4, 16, 1.2, 0.8
 #: queries of the audit (about), recall that it asks for
 AUDIT_ROWS, RECALL = 200, 0.95
 
@@ -251,7 +252,7 @@ def _linked(named: DataFrame, classes: DataFrame, centres: np.ndarray, slack: fl
         node, n = group.column("node").to_numpy(), group.num_rows
         y, c = x.astype(np.float32), min(CANDIDATES, n - 1)
         if c < 1:
-            return pa.table({"node": pa.array([], pa.int64()), "links": pa.array([], pa.list_(pa.int64()))})
+            return pa.table({"node": pa.array([], pa.int64()), "to": pa.array([], pa.int64()), "near": pa.array([], pa.bool_())})
         near = np.empty((n, c), np.int64)
         for lo in range(0, n, 512):  # the exact neighbours, of which the pruned graph keeps a few
             s = y[lo : lo + 512] @ y.T
@@ -262,18 +263,21 @@ def _linked(named: DataFrame, classes: DataFrame, centres: np.ndarray, slack: fl
         # the pruned lists may fall apart into dense groups: a few far nodes tie them together
         far = np.random.default_rng(n).integers(0, n, (n, FAR))
         links = np.concatenate([links, np.where(far == np.arange(n)[:, None], -1, far)], axis=1)
-        return pa.table({"node": node, "links": pa.array([node[r[r >= 0]].tolist() for r in links], pa.list_(pa.int64()))})
+        u, at = np.nonzero(links >= 0)
+        v = links[u, at]
+        return pa.table({"node": node[u], "to": node[v], "near": np.einsum("ij,ij->i", y[u], y[v]) >= OUT})
 
-    adjacency = stored(tasks.groupBy("shard", "i", "j").applyInArrow(build, "node long, links array<long>"), "adjacency")
-    pairs = adjacency.select("node", F.explode("links").alias("to")).distinct()
-    both = pairs.union(pairs.select(F.col("to").alias("node"), F.col("node").alias("to"))).distinct()
+    pairs = stored(tasks.groupBy("shard", "i", "j").applyInArrow(build, "node long, to long, near boolean"), "adjacency")
+    both = pairs.union(pairs.select(F.col("to").alias("node"), F.col("node").alias("to"), "near"))
+    both = both.groupBy("node", "to").agg(F.bool_or("near").alias("near"))
     # of links that lead back each node takes as many as of its own, by hash
     rank = F.row_number().over(Window.partitionBy("node").orderBy(F.xxhash64("node", "to")))
     both = both.withColumn("rank", rank).where(F.col("rank") <= 6 * DEGREE)
-    united = stored(both.groupBy("node").agg(F.collect_list("to").alias("links")), "graph")
+    lists = F.collect_list("to").alias("links"), F.collect_list(F.when(F.col("near"), F.col("to"))).alias("out")
+    united = stored(both.groupBy("node").agg(*lists), "graph")
     # neighbours outside the shard come with their vectors; in a task they are reached, and lead on to none
     inside = tasks.select("shard", "i", "j", "node", "block", "vec", "copies", "shards").join(united, "node", "left")
-    reached = inside.select("shard", "i", "j", "shards", F.explode("links").alias("to")).select("shard", "i", "j", F.col("to").alias("node")).distinct()
+    reached = inside.select("shard", "i", "j", F.explode("out").alias("node")).distinct()
     outer = members.withColumnRenamed("shards", "own").join(reached, "node").where(~F.array_contains("own", F.col("shard")))
     outer = outer.select("shard", "i", "j", "node", F.lit(-1).alias("block"), "vec", "copies", F.col("own").alias("shards"), F.lit(None).cast("array<long>").alias("links"))
     inside = inside.select(*outer.columns)
