@@ -22,7 +22,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import connected_components, discard, stored, table
@@ -454,9 +454,10 @@ def similar_components(docs: DataFrame, k: int = 5, low: float = 0.8, budget: in
     or whose fingerprints differ in ``budget`` bits at most; every link is
     verified on the sets, which are made for candidates alone. A band is first
     linked as a star around its most central member, then, where that leaves
-    it in parts, around a member chosen by hash. Then all its pairs that are not yet in one component are verified, so a
-    large group of near copies is never compared pair by pair, and no pair of
-    a band is left out. Texts without words are one component. Null ids and
+    it in parts, around a member chosen by hash. Then its pairs that are not yet
+    in one component are verified if they share one of their rarest shingles,
+    as pairs of similarity ``low`` must. So a large group of near copies is
+    never compared pair by pair, and no link of a band is lost. Texts without words are one component. Null ids and
     repeated rows stay.
     """
     rows = stored(shingle_sketches(docs, k), "sketches")
@@ -502,15 +503,35 @@ def similar_components(docs: DataFrame, k: int = 5, low: float = 0.8, budget: in
         made.extend([roots, at])
         return roots, at
 
+    def overlapping(at: DataFrame) -> DataFrame:
+        """Pairs of members of open bands, of different components, that can
+        reach ``low``. All sets are put in one order, rarest shingles first. Of
+        a set of m, o common ones are needed: then a common one is among the
+        first m - o + 1. So a text of which too much is its own meets no other."""
+        nodes = at.select("node", "root").distinct()
+        texts = docs.select("key", "text").join(nodes.join(classes.select("node", "key"), "node"), "key").dropDuplicates(["node"])
+        sets = shingle_sets(texts, k).join(nodes, "node")
+        each = stored(sets.select("node", "root", F.size("shingles").alias("n"), F.explode("shingles").alias("s")), "each")
+        made.append(each)
+        spread = each.groupBy("s").agg(F.count("*").alias("df"), (F.min("root") < F.max("root")).alias("across"))
+        order = Window.partitionBy("node").orderBy("across", "df", "s")
+        first = each.join(spread, "s").withColumn("at", F.row_number().over(order))
+        first = first.where(F.col("across") & (F.col("at") <= F.col("n") - F.ceil(F.lit(low) * F.col("n") - 1e-6) + 1))
+        first = stored(first.select("node", "root", "n", "s", "at"), "first")
+        made.append(first)
+        x, y = first.alias("x"), first.alias("y")
+        least = F.ceil(F.lit(low / (1 + low)) * (F.col("x.n") + F.col("y.n")) - 1e-6)
+        ok = (F.col("x.s") == F.col("y.s")) & (F.col("x.root") < F.col("y.root")) & near(F.col("x.n"), F.col("y.n"))
+        ok &= (F.col("x.at") <= F.col("x.n") - least + 1) & (F.col("y.at") <= F.col("y.n") - least + 1)
+        return x.join(y, ok).select(F.col("x.node").alias("src"), F.col("y.node").alias("dst"))
+
     # the text that near copies were made from is in the largest bands: it is the centre first
     first = star(members.withColumn("root", F.col("node")), "weight", F.xxhash64("node"))
     links = verified(first.union(trie_join(classes.select("node", "sig"), budget, turns=budget + 1).select("src", "dst")))
     roots, at = joined(links)
     links = links.union(verified(star(at, F.xxhash64("node"))))
     roots, at = joined(links)
-    x, y = at.alias("x"), at.alias("y")
-    pairs = x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.root") < F.col("y.root")) & near(F.col("x.n"), F.col("y.n")))
-    more = verified(pairs.select(F.col("x.node").alias("src"), F.col("y.node").alias("dst")))
+    more = verified(overlapping(at))
     if not more.isEmpty():
         roots = connected_components(links.union(more))
     out = rows.select("doc_id", "key", "node").join(roots, "node", "left").select(
