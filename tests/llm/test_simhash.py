@@ -88,3 +88,35 @@ def test_links_of_a_large_near_copy_group_stay_a_forest(spark):
     classes = spark.createDataFrame([(i, k.tobytes()) for i, k in enumerate(keys)], "node long, sig binary")
     assert S.trie_join(classes, 2, most=4096).count() <= len(keys) * 4
     assert S.trie_join(classes, 2, most=64, turns=3).count() <= len(keys) * 40
+
+
+def test_open_bands_against_brute_force(spark):
+    """Copies with few to many changed words: bands stay open after both stars,
+    and a link away from every star's centre must still be found."""
+    rng = np.random.default_rng(3)
+    base, other = ([f"{c}{i}" for i in range(130)] for c in "wv")
+    texts = []
+    for i in range(140):
+        words = list(base)
+        for at in rng.choice(130, i % 12, replace=False):
+            words[at] = f"x{i}-{at}"
+        texts.append(" ".join(words))
+    for i in range(4):  # two pairs that are near each other alone, and far from the rest
+        words = base[:70] + [f"{w}.{i // 2}" for w in base[70:]]
+        words[30 + i] = f"y{i}"
+        texts.append(" ".join(words))
+    texts += [" ".join(other), " ".join(other[:-3]), "", "", "w1 w2"]
+    rows = [(i, i, t) for i, t in enumerate(texts)]
+    sets = [set(S.shingle_hashes(S.normalized(t), 5).tolist()) for t in texts]
+    want = list(range(len(texts)))
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if a == b or len(a & b) >= 0.8 * len(a | b):
+                x, y = want[i], want[j]
+                want = [min(x, y) if w in (x, y) else w for w in want]
+    out = S.similar_components(spark.createDataFrame(rows, "doc_id long, key long, text string"), 5, 0.8).collect()
+    first = {}
+    for r in sorted(out, key=lambda r: r.doc_id):
+        first.setdefault(r.component, r.doc_id)
+    assert [first[r.component] for r in sorted(out, key=lambda r: r.doc_id)] == want
+    assert len(set(want)) > 20 and want.count(want[0]) > 20
