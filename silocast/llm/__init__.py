@@ -10,6 +10,7 @@ from importlib import import_module
 
 MODULES = (
     "imatch", "sharding", "packing", "mixing", "langid", "licenses", "simhash", "toxicity", "linededup", "vectors",
+    "repair", "fim", "quality",
 )
 
 
