@@ -105,7 +105,7 @@ class Tokens:
 
     def __init__(self, text: bytes, cache: Summaries) -> None:
         ends = borders(text)
-        self.text, self.starts = text, [0, *ends[:-1]]
+        self.text, self.starts = text, [0, *ends][: len(ends)]
         self.parts = [cache.of(text[a:b]) for a, b in zip(self.starts, ends, strict=True)]
         joined = [False, *(a.ends and b.begins for a, b in zip(self.parts, self.parts[1:], strict=False))][: len(self.parts)]
         self.joined = joined

@@ -24,8 +24,9 @@ BLANKS = r"[\x20\x09-\x0D]+"
 WINDOW = 8
 #: at most this share of a stratum's good texts may be rejected, but for this probability over all tests
 RISK, DOUBT = 0.05, 0.05
-#: the share of good texts, in thousandths, that each rule may reject in the first fold, by level
-LEVELS = (0, 1, 2, 5, 10)
+#: the share of good texts, in thousandths, that each rule may reject in the first fold, by level; at the
+#: first level (None) cutoffs lie a quarter, and MARGIN, above the highest score of a good text
+LEVELS, MARGIN = (None, 0, 1, 2, 5, 10), 25
 #: good texts in the second fold from which a stratum is tested; scores end here
 LEAST, TOP = 100, 10_000
 #: terms of a binomial sum that are added one by one; the rest is bounded from above
@@ -136,7 +137,7 @@ def _policy(counted: DataFrame, labels: DataFrame) -> DataFrame:
     w = Window.partitionBy("stratum", "rule")
     above = F.coalesce(F.sum("c").over(w.orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     seen = seen.select("stratum", "rule", "score", above.alias("above"), F.sum("c").over(w).alias("all"))
-    at = [F.min(F.when(F.col("above") * 1000 <= F.col("all") * q, F.col("score"))).alias(f"at{j}") for j, q in enumerate(LEVELS)]
+    at = [F.max("score") + F.expr("max(score) div 4") + MARGIN if q is None else F.min(F.when(F.col("above") * 1000 <= F.col("all") * q, F.col("score"))) for q in LEVELS]
     cuts = seen.groupBy("stratum").pivot("rule", list(RULES)).agg(F.array(*at).alias("c"))
     cuts = cuts.withColumnsRenamed({k: f"cuts_{k}" for k in RULES})
 
@@ -200,7 +201,7 @@ def _sql() -> str:
     rule = {k: e.format(top=TOP).replace(" div ", " // ") for k, e in RULES.items()}
     scores = ", ".join(f"{e} AS {k}" for k, e in rule.items())
     long = " UNION ALL ".join(f"SELECT stratum, '{k}' AS rule, {k} AS score FROM labelled WHERE fold = 0 AND good = 1" for k in RULES)
-    levels = ", ".join(f"({j}, {q})" for j, q in enumerate(LEVELS))
+    levels = ", ".join(f"({j}, {q})" for j, q in enumerate(LEVELS) if q is not None)
     over = " OR ".join(f"(rule = '{k}' AND {k} > cutoff)" for k in RULES)
     over_doc = " OR ".join(f"(p.rule = '{k}' AND b.{k} > p.cutoff)" for k in RULES)
     return rf"""
@@ -223,7 +224,8 @@ labelled AS (SELECT stratum, digest, {", ".join(RULES)}, min(good) AS good, CASE
 seen AS (SELECT stratum, rule, score, count(*) AS c FROM ({long}) GROUP BY ALL),
 a AS (SELECT *, coalesce(sum(c) OVER (PARTITION BY stratum, rule ORDER BY score DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS above,
   sum(c) OVER (PARTITION BY stratum, rule) AS total FROM seen),
-cuts AS (SELECT stratum, rule, level, min(score) AS cutoff FROM a, (VALUES {levels}) q(level, share) WHERE above * 1000 <= total * share GROUP BY ALL),
+cuts AS (SELECT stratum, rule, level, min(score) AS cutoff FROM a, (VALUES {levels}) q(level, share) WHERE above * 1000 <= total * share GROUP BY ALL
+  UNION ALL SELECT stratum, rule, 0 AS level, max(score) + max(score) // 4 + {MARGIN} AS cutoff FROM a GROUP BY ALL),
 hit AS (SELECT h.stratum, h.digest, h.good, level, bool_or({over}) AS bad FROM labelled h JOIN cuts USING (stratum) WHERE fold = 1 GROUP BY h.stratum, h.digest, h.good, level),
 tests AS (SELECT stratum, level, count(*) FILTER (good = 1) AS n, count(*) FILTER (good = 0) AS m, count(*) FILTER (good = 1 AND bad) AS x, count(*) FILTER (good = 0 AND bad) AS y FROM hit GROUP BY ALL HAVING n >= {LEAST}),
 tails AS (SELECT *, count(*) OVER () AS tests, CASE WHEN x >= n * {RISK} THEN 1.0 ELSE list_sum(list_transform(range(0, x + 1), lambda k:
