@@ -4,17 +4,21 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Other names of the time column; columns that are no features;
-#: columns unknown for days to come.
-TIME_NAMES = ("timestamp", "datetime", "date", "time")
+from silocast.operators.ordering import with_row_index
+from silocast.sources.readings import TIME_NAMES
+from silocast.sources.storage import sized
+
+#: Columns that are no features; columns unknown for days to come.
 NOT_FEATURES = (
     "temperature_grain", "detection_time", "granary_id", "heap_id", "forecast_day", "line_no", "layer_no", "line", "layer",
 )
 ENVIRONMENT = ("temperature_inside", "temperature_outside", "humidity_warehouse", "humidity_outside")
 MEASURED = ("avg_in_temp", "max_temp", "min_temp")
+#: levels of a column up to which its codes are part of the plan
+INLINE_LEVELS = 256
 
 
 def time_column(df: DataFrame, at: str = "detection_time") -> str:
@@ -48,33 +52,54 @@ def spatial_features(df: DataFrame) -> DataFrame:
 
 
 def label_levels(df: DataFrame, column: str) -> DataFrame:
-    """(level, code): sorted distinct values numbered from 0. One row per
-    distinct value is numbered, not one per row of ``df``."""
+    """(level, code): sorted distinct values numbered from 0."""
     levels = df.select(F.col(column).alias("level")).na.drop().distinct()
-    return levels.withColumn("code", F.row_number().over(Window.orderBy("level")) - 1)
+    return with_row_index(levels, ["level"], name="code").withColumn("code", F.col("code").cast("int"))
 
 
 def encode_labels(df: DataFrame, column: str, levels: DataFrame | None = None) -> DataFrame:
     """``column``_code from ``levels`` (default: its own); unseen or null: -1."""
     levels = label_levels(df, column) if levels is None else levels
-    levels = levels.select(F.col("level").alias("_level"), F.col("code").alias("_code"))
-    out = df.join(levels, F.col(column) == F.col("_level"), "left")
-    return out.withColumn(f"{column}_code", F.coalesce("_code", F.lit(-1))).drop("_level", "_code")
+    return _coded(df, {f"{column}_code": column}, levels.select(F.lit(column).alias("column"), "level", "code"))
 
 
 def fit_dictionary(df: DataFrame, columns: list[str]) -> DataFrame:
-    """(column, level, code) of the sorted distinct values of ``columns``."""
+    """(column, level, code) of the sorted distinct values of ``columns``,
+    stored: one aggregation over ``df`` for all of them. Levels are numbered in
+    ranges, so a column may have any number of them."""
     values = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).alias("level")) for c in columns])).alias("x"))
     values = values.select("x.column", "x.level").where("level is not null").distinct()
-    return values.withColumn("code", F.row_number().over(Window.partitionBy("column").orderBy("level")) - 1)
+    return with_row_index(values, ["level"], ["column"], "code").withColumn("code", F.col("code").cast("int"))
+
+
+def _coded(df: DataFrame, out: dict[str, str], dictionary: DataFrame) -> DataFrame:
+    """``df`` with codes: ``out`` says from which column each new one comes. A
+    column of up to INLINE_LEVELS levels gets them from a map in the plan;
+    others from a join, a broadcast one up to the size that ``sized`` sets."""
+    of = sorted(set(out.values()))
+    few: dict[str, dict] = {c: {} for c in of}
+    for r in dictionary.where(F.col("column").isin(of) & (F.col("code") <= INLINE_LEVELS)).collect():
+        few[r["column"]][r["level"]] = r["code"]  # at most INLINE_LEVELS + 1 rows a column
+    new = {}
+    for name, c in out.items():
+        levels = few[c]
+        if len(levels) <= INLINE_LEVELS:
+            codes = F.create_map(*[F.lit(x) for pair in levels.items() for x in pair]) if levels else None
+            new[name] = F.lit(-1) if codes is None else F.coalesce(F.try_element_at(codes, F.col(c)), F.lit(-1))
+    df = df.withColumns(new)
+    for name, c in out.items():
+        if name not in new:
+            levels = sized(dictionary.where(F.col("column") == c).select(F.col("level").alias("_level"), F.col("code").alias("_code")), "levels")
+            df = df.join(levels, F.col(c) == F.col("_level"), "left")
+            df = df.withColumn(name, F.coalesce("_code", F.lit(-1))).drop("_level", "_code")
+    return df
 
 
 def encode(df: DataFrame, dictionary: DataFrame, columns: list[str]) -> DataFrame:
     """``columns`` replaced by their codes in ``dictionary``; unseen or null: -1."""
-    names = df.columns
-    for c in columns:
-        df = encode_labels(df, c, dictionary.where(F.col("column") == c)).drop(c).withColumnRenamed(f"{c}_code", c)
-    return df.select(*names)
+    own = {f"_code_of_{c}": c for c in columns}
+    out = _coded(df, own, dictionary).drop(*columns).withColumnsRenamed(own)
+    return out.select(*df.columns)
 
 
 def future_safe(df: DataFrame) -> DataFrame:

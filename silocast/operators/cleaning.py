@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from silocast.operators.ordering import with_neighbours
+from silocast.operators.ordering import row_order, with_neighbours
+from silocast.sources.storage import stored
 
 MARKERS, NUMBER_MARKER = ("-", "NA", "N/A"), -999
 NUMERIC = ("tinyint", "smallint", "int", "bigint", "float", "double")
@@ -25,15 +26,25 @@ def clean_markers(df: DataFrame) -> DataFrame:
 
 
 def drop_empty_columns(df: DataFrame) -> DataFrame:
-    """Without the columns that hold nulls only (one aggregation)."""
-    counts = df.agg(*[F.count(c).alias(c) for c in df.columns]).first()
-    return df.select(*[c for c in df.columns if counts[c]])
+    """Without the columns that hold nulls only (one aggregation); a frame
+    without rows keeps all."""
+    rows, *counts = df.agg(F.count("*"), *[F.count(c) for c in df.columns]).first()
+    return df.select(*[c for c, n in zip(df.columns, counts, strict=True) if n]) if rows else df
+
+
+def drop_repeated(df: DataFrame, identity: str = "row_id") -> DataFrame:
+    """One row of those that are equal but for ``identity``, the first."""
+    if identity not in df.columns:
+        return df.dropDuplicates()
+    others = [c for c in df.columns if c != identity]
+    return df.groupBy(*others).agg(F.min(identity).alias(identity)).select(*df.columns)
 
 
 def clean_basic(df: DataFrame) -> DataFrame:
-    """Trimmed names, markers as nulls, no empty column, no repeated row."""
+    """Trimmed names, markers as nulls, no empty column, no repeated row. The
+    row_id that tells the rows of a file apart makes no difference."""
     df = clean_markers(df.toDF(*[c.strip() for c in df.columns]))
-    return drop_empty_columns(df).dropDuplicates()
+    return drop_repeated(drop_empty_columns(df))
 
 
 def exact_median(df: DataFrame, column: str, at_most: int = 100_000) -> float | None:
@@ -70,7 +81,8 @@ def fill_numeric(df: DataFrame, columns: list[str], how: str = "mean") -> DataFr
     if how not in ("mean", "median"):
         raise ValueError(f"unknown strategy {how!r}")
     if how == "median":
-        return df.withColumns({c: F.coalesce(c, F.lit(exact_median(df, c))) for c in columns})
+        values = stored(df.select(*columns), "median")  # read again by each pass
+        return df.withColumns({c: F.coalesce(c, F.lit(exact_median(values, c))) for c in columns})
     fills = df.agg(*[F.avg(c).alias(f"_fill_{c}") for c in columns])
     joined = df.crossJoin(F.broadcast(fills))  # one row
     return joined.withColumns({c: F.coalesce(c, f"_fill_{c}") for c in columns}).drop(*fills.columns)
@@ -111,16 +123,16 @@ def fill_along(
 
 def fill_missing(
     df: DataFrame, strategy: str = "ffill", numeric_strategy: str = "mean", limit: int | None = None,
-    by: list[str] = ("heap_id",), order: list[str] = ("detection_time", "row_id"),
+    by: list[str] = ("heap_id",), order: list[str] | None = None,
 ) -> DataFrame:
-    """All columns but those of ``by`` and ``order`` filled: numbers by
-    ``numeric_strategy``, the others by ``strategy``. ``limit`` bounds the
-    fills along time."""
+    """All columns but those of ``by``, the time and row_id filled: numbers by
+    ``numeric_strategy``, the others by ``strategy``, along ``order`` (default:
+    that of ``row_order``). ``limit`` bounds the fills along time."""
     if numeric_strategy not in NUMERIC_STRATEGIES or strategy not in STRATEGIES:
         raise ValueError(f"unknown strategy {numeric_strategy!r} or {strategy!r}")
-    by, order = list(by), list(order)
-    numbers = [c for c in numeric_columns(df) if c not in (*by, *order)]
-    others = [c for c in df.columns if c not in (*numbers, *by, *order)]
+    by, order = [c for c in by if c in df.columns], list(order or row_order(df))
+    numbers = [c for c in numeric_columns(df) if c not in (*by, order[0], "row_id")]
+    others = [c for c in df.columns if c not in (*numbers, *by, order[0], "row_id")]
     names = df.columns
     if numeric_strategy == "interpolate":
         df = fill_along(df, numbers, by, order, "interpolate", limit)

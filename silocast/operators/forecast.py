@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,10 +29,15 @@ def evaluation_days(df: DataFrame, horizon: int = 5) -> DataFrame:
 
 
 def split(df: DataFrame, horizon: int = 5) -> tuple[DataFrame, DataFrame]:
-    """(training rows, evaluation rows with forecast_day)."""
-    days = F.broadcast(evaluation_days(df, horizon))  # ``horizon`` rows
-    dated = df.withColumn("day", F.to_date("detection_time"))
-    return dated.join(days, "day", "left_anti").drop("day"), dated.join(days, "day").drop("day")
+    """(training rows, evaluation rows with forecast_day). The days are found
+    by one job, and are ``horizon`` at most; both parts are filters then."""
+    numbers = {r["day"]: r["forecast_day"] for r in evaluation_days(df, horizon).collect()}
+    day = F.to_date("detection_time")
+    if not numbers:
+        return df, df.where("false").withColumn("forecast_day", F.lit(None).cast("int"))
+    held = F.coalesce(day.isin(*numbers), F.lit(False))
+    of = F.create_map(*[F.lit(x) for pair in numbers.items() for x in pair])
+    return df.where(~held), df.where(held).withColumn("forecast_day", F.try_element_at(of, day))
 
 
 def mean_predictor(train: DataFrame, rows: DataFrame, by: list[str] = ("heap_id",)) -> DataFrame:
@@ -237,6 +244,22 @@ def gap_fill(train: DataFrame, evaluated: DataFrame) -> DataFrame:
     return _featured(train.select(*keys).distinct().crossJoin(F.broadcast(missing)))
 
 
+def evaluated_with_gaps(
+    train: DataFrame, held: DataFrame, predict: Callable[[DataFrame, DataFrame], DataFrame]
+) -> DataFrame:
+    """Training rows, predicted evaluation rows and predicted rows of the
+    calendar days between them without readings, in one frame; ``is_forecast``
+    is true for the last. ``forecast_day`` of a reading is the rank of its day
+    among the days that have readings, that of a gap counts calendar days;
+    ``eval_offset_days`` counts calendar days for both, so it names one date."""
+    day = F.to_date("detection_time")
+    first = held.agg(F.min(day).alias("_first_day"))  # one row
+    offset = (F.datediff(day, "_first_day") + 1).cast("int")
+    own = held.crossJoin(F.broadcast(first)).withColumn("eval_offset_days", offset).drop("_first_day")
+    gaps = gap_fill(train, held).withColumn("eval_offset_days", F.col("forecast_day"))
+    return prediction_frame(train, predict(train, own), predict(train, gaps))
+
+
 def fill_missing_days(evaluated: DataFrame, train: DataFrame, horizon: int = 5) -> DataFrame:
     """Future rows of ``train`` for the day numbers from 1 to ``horizon`` that
     ``evaluated`` has no row of."""

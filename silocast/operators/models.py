@@ -8,9 +8,12 @@ the training rows and saved with the model.
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 from functools import reduce
 
+from pyspark import inheritable_thread_target
 from pyspark.errors import AnalysisException
 from pyspark.ml import PipelineModel
 from pyspark.ml.feature import VectorAssembler
@@ -21,15 +24,24 @@ from pyspark.sql import functions as F
 from silocast.functions import features as ft
 from silocast.operators import forecast as fc
 from silocast.operators.cleaning import clean_basic, fill_missing
-from silocast.operators.ordering import assign_folds, with_row_index
+from silocast.operators.ordering import assign_folds, row_order, with_row_index
+from silocast.operators.results import ResultStore
+from silocast.sources.storage import stored
 
-TARGET, ORDER = "temperature_grain", ("detection_time", "row_id")
+TARGET = "temperature_grain"
 ALGORITHMS = ("rf", "hgb", "gb", "lgbm")
+#: folds of a cross-validation, and how many of them are fitted at once
+SPLITS, AT_ONCE = 5, 4
+#: the share of last rows that boosting is stopped by
+STOP_SHARE = 0.1
 
 
-def prepare(df: DataFrame, by: list[str] = ("heap_id",), order: list[str] = ORDER) -> DataFrame:
-    """Cleaned, filled and with time and grid features."""
-    return ft.spatial_features(ft.time_features(fill_missing(clean_basic(df), by=by, order=order)))
+def prepare(df: DataFrame, by: list[str] = ("heap_id",), order: list[str] | None = None) -> DataFrame:
+    """Cleaned, filled and with time and grid features, stored: what trains and
+    predicts on it reads one file. Needs no row_id; see ``row_order``."""
+    clean = stored(clean_basic(df), "clean")
+    filled = fill_missing(clean, by=by, order=order or row_order(clean, ft.time_column(clean)))
+    return stored(ft.spatial_features(ft.time_features(filled)), "prepared")
 
 
 @dataclass
@@ -46,22 +58,24 @@ class Model:
         """``df`` with predicted_temp; its own columns stay as they are. Absent
         features count as 0, and so do nulls."""
         own = [F.col(c).alias(f"_f_{c}") if c in df.columns else F.lit(0.0).alias(f"_f_{c}") for c in self.features]
-        coded = df.select("*", *own)
-        for c in self.text:
-            levels = self.dictionary.where(F.col("column") == c).select(F.col("level").alias("_level"), F.col("code").alias("_code"))
-            if c in df.columns:
-                coded = coded.join(levels, F.col(f"_f_{c}") == F.col("_level"), "left")
-                coded = coded.withColumn(f"_f_{c}", F.coalesce("_code", F.lit(-1))).drop("_level", "_code")
-        coded = coded.withColumns({f"_f_{c}": F.coalesce(F.col(f"_f_{c}").cast("double"), F.lit(0.0)) for c in self.features})
+        coded = _numeric(df.select("*", *own), self.features, [c for c in self.text if c in df.columns], self.dictionary)
         return self.pipeline.transform(coded).select(*df.columns, F.col("prediction").alias("predicted_temp"))
 
 
+def _numeric(df: DataFrame, names: list[str], text: list[str], dictionary: DataFrame) -> DataFrame:
+    """``df`` with the columns _f_... of ``names`` as doubles, ``text`` coded."""
+    levels = dictionary.withColumn("column", F.concat(F.lit("_f_"), "column"))
+    coded = ft.encode(df, levels, [f"_f_{c}" for c in text]) if text else df
+    return coded.withColumns({f"_f_{c}": F.coalesce(F.col(f"_f_{c}").cast("double"), F.lit(0.0)) for c in names})
+
+
 def regressor(algo: str, n_trees: int, **params):
     """The tree learner of a short name: random forest, histogram boosting,
-    classic boosting, or boosting on sampled features."""
+    classic boosting, or boosting on sampled features. Forests grow as deep as
+    Spark's trees can (30)."""
     common = {"featuresCol": "_features", "labelCol": TARGET, "seed": 42}
     if algo == "rf":
-        return RandomForestRegressor(**common | {"numTrees": n_trees, "featureSubsetStrategy": "all", "maxDepth": 10} | params)
+        return RandomForestRegressor(**common | {"numTrees": n_trees, "featureSubsetStrategy": "all", "maxDepth": 30} | params)
     if algo in ("hgb", "gb"):
         own = {"maxBins": 255, "minInstancesPerNode": 20, "maxDepth": 5} if algo == "hgb" else {"maxDepth": 3}
         return GBTRegressor(**common | {"maxIter": n_trees, "stepSize": 0.1} | own | params)
@@ -70,22 +84,42 @@ def regressor(algo: str, n_trees: int, **params):
     raise ValueError(f"unknown algorithm {algo!r}")
 
 
-def _fit(rows: DataFrame, algo: str, n_trees: int, params: dict) -> Model:
-    """A model of all rows that have a target."""
-    rows = rows.where(F.col(TARGET).isNotNull())
-    skip = (*ft.NOT_FEATURES, "row_id", "row_index", "fold", "is_forecast", "predicted_temp")
-    text = [c for c, t in rows.dtypes if t == "string" and c not in skip]
+@dataclass
+class _Design:
+    """Readings as feature vectors, stored, and how they were made."""
+
+    data: DataFrame
+    assembler: VectorAssembler
+    dictionary: DataFrame
+    names: list[str]
+    text: list[str]
+
+    def fit(self, rows: DataFrame, algo: str, n_trees: int, params: dict, early_stop: bool = False):
+        """A learner fitted to ``rows`` of ``data`` that have a target. With
+        ``early_stop`` the last of them (STOP_SHARE) are set apart and boosting
+        ends when their error grows no smaller."""
+        rows = rows.where(F.col(TARGET).isNotNull())
+        if early_stop:
+            cut = rows.approxQuantile("row_index", [1 - STOP_SHARE], 0.001)
+            rows = rows.withColumn("_held", F.col("row_index") > F.lit(cut[0] if cut else 0.0))
+            params = params | {"validationIndicatorCol": "_held"}
+        return regressor(algo, n_trees, **params).fit(rows)
+
+    def model(self, learned) -> Model:
+        return Model(PipelineModel(stages=[self.assembler, learned]), self.dictionary, self.names, self.text)
+
+
+def _design(rows: DataFrame, keep: list[str] = ()) -> _Design:
+    """The vectors of ``rows``; categories are coded by all of them."""
+    skip = (*ft.NOT_FEATURES, "row_id", "row_index", "fold", "is_forecast", "predicted_temp", "eval_offset_days", "dataset")
     names = [c for c in rows.columns if c not in skip]
-    dictionary = ft.fit_dictionary(rows, text) if text else rows.sparkSession.createDataFrame([], "column string, level string, code int")
-    coded = ft.encode(rows.select(*names, TARGET), dictionary, text)
-    coded = coded.select(*[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(f"_f_{c}") for c in names], TARGET)
+    text = [c for c, t in rows.dtypes if t == "string" and c in names]
+    empty = "column string, level string, code int"
+    dictionary = ft.fit_dictionary(rows, text) if text else rows.sparkSession.createDataFrame([], empty)
+    own = rows.select(*dict.fromkeys([*keep, TARGET]), *[F.col(c).alias(f"_f_{c}") for c in names])
     assembler = VectorAssembler(inputCols=[f"_f_{c}" for c in names], outputCol="_features")
-    data = assembler.transform(coded).select("_features", TARGET).cache()
-    try:
-        learned = regressor(algo, n_trees, **params).fit(data)
-    finally:
-        data.unpersist()
-    return Model(PipelineModel(stages=[assembler, learned]), dictionary, names, text)
+    data = assembler.transform(_numeric(own, names, text, dictionary)).drop(*[f"_f_{c}" for c in names])
+    return _Design(stored(data, "vectors"), assembler, dictionary, names, text)
 
 
 def errors(df: DataFrame) -> dict:
@@ -96,49 +130,90 @@ def errors(df: DataFrame) -> dict:
 
 def train(
     df: DataFrame, algo: str = "rf", n_trees: int = 200, future_safe: bool = False, test_size: float = 0.2,
-    order: list[str] = ORDER, train_until=None, measure: bool = True, **params,
+    order: list[str] | None = None, train_until=None, measure: bool = True, early_stop: bool | None = None, **params,
 ) -> Model:
     """A model of prepared readings. A random forest learns from the first 80 %
     along ``order`` and is measured on the rest; boosting on sampled features
     learns from all and is measured on the same rows (``in_sample``); the other
-    kinds learn from all and are measured by cross-validation.
-    ``train_until``: later days are left out. Without ``measure`` the model
-    comes without errors."""
+    kinds learn from all and are measured by cross-validation. ``early_stop``
+    (default: for histogram boosting) ends boosting by its last rows in time;
+    meta has the number of ``trees`` that came of it. ``train_until``: later
+    days are left out. Without ``measure`` the model comes without errors."""
     if algo not in ALGORITHMS:
         raise ValueError(f"unknown algorithm {algo!r}")
     if train_until is not None:
         df = df.where(F.to_date("detection_time") <= F.lit(train_until).cast("date"))
     rows = ft.future_safe(df) if future_safe else df
-    meta = {"algo": algo, "n_trees": n_trees, "future_safe": future_safe, "params": params}
+    order = list(order or row_order(rows))
+    early_stop = algo == "hgb" if early_stop is None else early_stop and algo != "rf"
+    meta = {"algo": algo, "n_trees": n_trees, "future_safe": future_safe, "early_stop": early_stop, "params": params}
+    indexed = with_row_index(rows, order)
     if algo == "rf":
-        indexed = with_row_index(rows, list(order))
-        cut = indexed.count()
-        cut -= -(-int(round(cut * test_size * 1e6)) // 1_000_000)
-        model = _fit(indexed.where(F.col("row_index") < cut), algo, n_trees, params)
-        if measure:
-            meta |= errors(model.predict(indexed.where(F.col("row_index") >= cut))) | {"measured": "last_rows"}
+        n = indexed.count()
+        cut = n - -(-int(round(n * test_size * 1e6)) // 1_000_000)
+        design = _design(indexed.where(F.col("row_index") < cut), ["row_index"])
     else:
-        model = _fit(rows, algo, n_trees, params)
-        if measure and algo == "lgbm":
-            meta |= errors(model.predict(rows)) | {"measured": "in_sample"}
-        elif measure:
-            meta |= errors(cross_validate(rows, algo, n_trees, 3, order, **params)) | {"measured": "cross_validation"}
+        design = _design(indexed, ["row_index"])
+    learned = design.fit(design.data, algo, n_trees, params, early_stop)
+    model = design.model(learned)
+    meta["trees"] = learned.getNumTrees
+    if measure and algo == "rf":
+        meta |= errors(model.predict(indexed.where(F.col("row_index") >= cut))) | {"measured": "last_rows"}
+    elif measure and algo == "lgbm":
+        meta |= errors(model.predict(rows)) | {"measured": "in_sample"}
+    elif measure:
+        found = time_series_cv(rows, algo, n_trees, SPLITS, order, early_stop=early_stop, refit=False, **params)
+        meta |= found.errors | {"measured": "cross_validation"}
     model.meta = meta
     return model
 
 
-def cross_validate(
-    df: DataFrame, algo: str = "hgb", n_trees: int = 300, n_splits: int = 5, order: list[str] = ORDER, **params
-) -> DataFrame:
-    """Rows of all folds with ``fold`` and ``predicted_temp``, each predicted by
-    a model of all earlier rows."""
-    rows = assign_folds(df, list(order), n_splits)
-    size = rows.where("fold is not null").groupBy("fold").agg(F.min("row_index").alias("first")).collect()
-    out = []
-    for r in sorted(size, key=lambda r: r["fold"]):
-        model = _fit(rows.where(F.col("row_index") < r["first"]), algo, n_trees, params)
-        out.append(model.predict(rows.where(F.col("fold") == r["fold"])))
-    return reduce(DataFrame.union, out) if out else rows.where("false").withColumn("predicted_temp", F.lit(None).cast("double"))
+@dataclass
+class CrossValidation:
+    """Rows of all folds with ``fold`` and ``predicted_temp``, their pooled
+    errors, and the model fitted to all rows, if asked for."""
+
+    predictions: DataFrame
+    errors: dict
+    model: Model | None
+
+
+def time_series_cv(
+    df: DataFrame, algo: str = "hgb", n_trees: int = 300, n_splits: int = SPLITS, order: list[str] | None = None,
+    early_stop: bool = False, refit: bool = True, at_once: int = AT_ONCE, **params,
+) -> CrossValidation:
+    """Expanding-window cross-validation: each fold is predicted by a model of
+    all earlier rows. The vectors of all folds are made and stored once;
+    ``at_once`` folds are fitted side by side, each in a scheduler pool of its
+    own, so that small stages of one fill the gaps of another where the
+    scheduler is FAIR."""
+    spark = df.sparkSession
+    rows = assign_folds(df, list(order or row_order(df)), n_splits)
+    design = _design(rows, [*df.columns, "row_index", "fold"])
+    data = design.data
+    starts = {r["fold"]: r["first"] for r in data.where("fold is not null").groupBy("fold").agg(F.min("row_index").alias("first")).collect()}
+    jobs = [(f, data.where(F.col("row_index") < starts[f])) for f in sorted(starts)] + [(None, data)] * bool(refit and starts)
+
+    @inheritable_thread_target(spark)
+    def fit(fold, part):
+        spark.sparkContext.setLocalProperty("spark.scheduler.pool", f"fold-{fold}")
+        try:
+            return fold, design.fit(part, algo, n_trees, params, early_stop)
+        finally:
+            spark.sparkContext.setLocalProperty("spark.scheduler.pool", None)
+
+    with ThreadPoolExecutor(at_once) as pool:
+        fitted = dict(pool.map(lambda job: fit(*job), jobs))
+    keep = [*df.columns, "row_index", "fold"]
+    out = [m.transform(data.where(F.col("fold") == f)).select(*keep, F.col("prediction").alias("predicted_temp")) for f, m in fitted.items() if f is not None]
+    none = rows.where("false").withColumn("predicted_temp", F.lit(None).cast("double")).select(*keep, "predicted_temp")
+    predictions = stored(reduce(DataFrame.union, out), "folds") if out else none
+    return CrossValidation(predictions, errors(predictions), design.model(fitted[None]) if None in fitted else None)
+
+
+def cross_validate(df: DataFrame, algo: str = "hgb", n_trees: int = 300, n_splits: int = SPLITS, order: list[str] | None = None, **params) -> DataFrame:
+    """The rows of all folds with their predictions; see ``time_series_cv``."""
+    return time_series_cv(df, algo, n_trees, n_splits, order, refit=False, **params).predictions
 
 
 # ------------------------------------------------------------------ storage
@@ -192,10 +267,23 @@ def list_models(spark: SparkSession, *paths: str) -> DataFrame:
 # --------------------------------------------------------------- composites
 
 
-def evaluate(models: dict[str, Model], df: DataFrame, horizon: int = 5) -> DataFrame:
-    """Metrics per model over one shared split, in one aggregation."""
-    train_rows, held = fc.split(df, horizon)
-    scored = [m.predict(held).select("temperature_grain", "predicted_temp", F.lit(name).alias("model")) for name, m in models.items()]
+def predictor(model: Model) -> Callable[[DataFrame, DataFrame], DataFrame]:
+    """``model`` as a function of training rows and rows to predict."""
+    return lambda train_rows, rows: model.predict(ft.future_safe(rows) if model.meta.get("future_safe") else rows)
+
+
+def evaluate(models: dict[str, Model], df: DataFrame, horizon: int = 5, store: ResultStore | None = None) -> DataFrame:
+    """Metrics per model over one shared split, in one aggregation. Calendar
+    days without readings are predicted too; the predictions of each model stay
+    in ``store``, if there is one."""
+    shared = fc.split(df, horizon)
+    scored = []
+    for name, m in models.items():
+        rows = fc.evaluated_with_gaps(*shared, predictor(m))
+        if store is not None:
+            store.put(rows, name, horizon)
+            rows = store.get(name, horizon)
+        scored.append(rows.select("temperature_grain", "predicted_temp", F.lit(name).alias("model")))
     return fc.overall_metrics(reduce(DataFrame.union, scored), ["model"])
 
 

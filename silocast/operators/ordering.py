@@ -1,7 +1,9 @@
-"""Positions and nearest values along time, without one task for all rows.
+"""Positions and nearest values along an order, without one task for all rows.
 
-Rows are ordered within calendar days; what crosses the days (counts and last
-or first values) is carried over a table with one row per group and day.
+Rows are dealt into sorted ranges of even size and stored with the number of
+their range, whatever share of them one group, day or null time holds. What
+crosses the ranges (counts and last or first values) is carried over a table
+with one row per group and range.
 """
 
 from __future__ import annotations
@@ -9,68 +11,85 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from silocast.sources.storage import sized, stored
 
-def _day(order: list[str]) -> Column:
-    """The bucket of a row: the day of the first order column; null first."""
-    return F.coalesce(F.to_date(order[0]), F.lit("0001-01-01").cast("date"))
+
+def row_order(df: DataFrame, at: str = "detection_time") -> list[str]:
+    """The columns that order readings: the time, then row_id; in a frame
+    without one all other columns, so only equal rows tie."""
+    return [at, *(["row_id"] if "row_id" in df.columns else [c for c in df.columns if c != at])]
 
 
 def _same(left: str, right: str) -> Column:
     return F.col(left).eqNullSafe(F.col(right))
 
 
+def in_ranges(df: DataFrame, order: list[str], by: list[str] = ()) -> DataFrame:
+    """``df`` sorted by (by, order) in ranges of even size, stored: ``_range``
+    is the number of a row's range and ``_at`` grows along it."""
+    keys = list(dict.fromkeys([*by, *order]))
+    rows = df.repartitionByRange(*keys).sortWithinPartitions(*keys)
+    return stored(rows.select("*", F.spark_partition_id().alias("_range"), F.monotonically_increasing_id().alias("_at")), "ranges")
+
+
+def _joined(rows: DataFrame, parts: DataFrame, by: list[str]) -> DataFrame:
+    """``rows`` with the row of ``parts`` for their group and range."""
+    parts = sized(parts.withColumnsRenamed({c: f"_by_{c}" for c in by} | {"_range": "_of"}), "parts")
+    on = [_same(c, f"_by_{c}") for c in by] + [F.col("_range") == F.col("_of")]
+    return rows.join(parts, on).drop("_of", *[f"_by_{c}" for c in by])
+
+
+def _indexed(rows: DataFrame, by: list[str], name: str) -> DataFrame:
+    parts = rows.groupBy(*by, "_range").agg(F.count("*").alias("_n"), F.min("_at").alias("_low"))
+    before = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.withColumn("_first", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    return _joined(rows, parts.drop("_n"), by).withColumn(name, F.col("_first") + F.col("_at") - F.col("_low")).drop("_first", "_low")
+
+
 def with_row_index(df: DataFrame, order: list[str], by: list[str] = (), name: str = "row_index") -> DataFrame:
-    """``df`` with each row's gapless number from 0 along ``order`` (a time
-    first) within ``by``."""
-    by = list(by)
-    rows = df.withColumn("_day", _day(order))
-    days = rows.groupBy(*by, "_day").agg(F.count("*").alias("_n"))
-    before = Window.partitionBy(*by).orderBy("_day").rowsBetween(Window.unboundedPreceding, -1)
-    days = days.select(*[F.col(c).alias(f"_by_{c}") for c in by], F.col("_day").alias("_of"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_first"))
-    on = [_same(c, f"_by_{c}") for c in by] + [F.col("_day") == F.col("_of")]
-    number = F.row_number().over(Window.partitionBy(*by, "_day").orderBy(*order)) - 1
-    rows = rows.withColumn("_number", number).join(days, on)
-    index = (F.col("_first") + F.col("_number")).cast("long")
-    return rows.withColumn(name, index).drop("_day", "_of", "_first", "_number", *[f"_by_{c}" for c in by])
+    """``df`` with each row's gapless number from 0 along ``order`` within
+    ``by``; nulls come first. Runs the jobs that store the ranges."""
+    return _indexed(in_ranges(df, order, by), list(by), name).drop("_range", "_at")
 
 
 def with_neighbours(df: DataFrame, columns: list[str], by: list[str], order: list[str]) -> DataFrame:
     """``df`` with ``_i``, the row's number within ``by``, and for every column
     c the structs ``_prev_c`` and ``_next_c`` (i, v): number and value of the
     nearest row at or before, at or after this one that has a value."""
-    rows = with_row_index(df, order, by, "_i").withColumn("_day", _day(order))
+    by = list(by)
+    rows = _indexed(in_ranges(df, order, by), by, "_i")
     pair = {c: F.when(F.col(c).isNotNull(), F.struct(F.col("_i").alias("i"), F.col(c).alias("v"))) for c in columns}
-    up = Window.partitionBy(*by, "_day").orderBy("_i").rowsBetween(Window.unboundedPreceding, 0)
-    down = Window.partitionBy(*by, "_day").orderBy(F.desc("_i")).rowsBetween(Window.unboundedPreceding, 0)
-    days = rows.groupBy(*by, "_day").agg(
+    ends = rows.groupBy(*by, "_range").agg(
         *[F.max_by(pair[c], F.when(F.col(c).isNotNull(), F.col("_i"))).alias(f"_last_{c}") for c in columns],
         *[F.min_by(pair[c], F.when(F.col(c).isNotNull(), F.col("_i"))).alias(f"_first_{c}") for c in columns],
     )
-    past = Window.partitionBy(*by).orderBy("_day").rowsBetween(Window.unboundedPreceding, -1)
-    ahead = Window.partitionBy(*by).orderBy(F.desc("_day")).rowsBetween(Window.unboundedPreceding, -1)
-    days = days.select(
-        *[F.col(c).alias(f"_by_{c}") for c in by], F.col("_day").alias("_of"),
+    past = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    ahead = Window.partitionBy(*by).orderBy(F.desc("_range")).rowsBetween(Window.unboundedPreceding, -1)
+    ends = ends.select(
+        *by, "_range",
         *[F.last(f"_last_{c}", True).over(past).alias(f"_last_{c}") for c in columns],
         *[F.last(f"_first_{c}", True).over(ahead).alias(f"_first_{c}") for c in columns],
     )
+    within = Window.partitionBy(*by, "_range")
+    up = within.orderBy("_i").rowsBetween(Window.unboundedPreceding, 0)
+    down = within.orderBy(F.desc("_i")).rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.withColumns({f"_up_{c}": F.last(pair[c], True).over(up) for c in columns})
     rows = rows.withColumns({f"_down_{c}": F.last(pair[c], True).over(down) for c in columns})
-    on = [_same(c, f"_by_{c}") for c in by] + [F.col("_day") == F.col("_of")]
-    rows = rows.join(days, on).withColumns(
+    rows = _joined(rows, ends, by).withColumns(
         {f"_prev_{c}": F.coalesce(f"_up_{c}", f"_last_{c}") for c in columns}
         | {f"_next_{c}": F.coalesce(f"_down_{c}", f"_first_{c}") for c in columns}
     )
-    extra = [f"_{k}_{c}" for k in ("up", "down", "last", "first") for c in columns]
-    return rows.drop("_day", "_of", *extra, *[f"_by_{c}" for c in by])
+    return rows.drop("_range", "_at", *[f"_{k}_{c}" for k in ("up", "down", "last", "first") for c in columns])
 
 
 def assign_folds(df: DataFrame, order: list[str], n_splits: int = 5) -> DataFrame:
     """``df`` with ``row_index`` and ``fold``: of n rows fold f of k tests the
     rows from n - (k - f + 1) * t on, t = n div (k + 1) of them, and trains on
     all rows before; the first rows are in no fold (null)."""
-    n = df.agg(F.count("*").alias("_n"))
-    rows = with_row_index(df, order).crossJoin(F.broadcast(n))  # one row
-    size = F.floor(F.col("_n") / (n_splits + 1))
-    from_end = F.col("_n") - 1 - F.col("row_index")
-    fold = F.when(size > 0, n_splits - F.floor(from_end / size))
-    return rows.withColumn("fold", F.when(fold >= 1, fold).cast("int")).drop("_n")
+    rows = with_row_index(df, order)
+    n = rows.count()
+    size = n // (n_splits + 1)
+    if not size:
+        return rows.withColumn("fold", F.lit(None).cast("int"))
+    fold = n_splits - F.floor((n - 1 - F.col("row_index")) / size)
+    return rows.withColumn("fold", F.when(fold >= 1, fold).cast("int"))

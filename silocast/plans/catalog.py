@@ -9,10 +9,12 @@ from silocast.functions import features as ft
 from silocast.operators import cleaning as cl
 from silocast.operators import forecast as fc
 from silocast.operators import models as md
+from silocast.operators import results as rs
 from silocast.operators.ordering import assign_folds
 from silocast.sources import landing
 from silocast.sources import readings as rd
 from silocast.sources.readings import READINGS_SQL, sensor_readings
+from silocast.sources.storage import scratch
 
 TEMPS = ["temperature_grain", "temperature_inside"]
 ORDER = ["detection_time", "row_id"]
@@ -90,13 +92,20 @@ _REPLACE = """SELECT * REPLACE (nullif(temperature_grain, -999e0) AS temperature
   nullif(temperature_inside, -999e0) AS temperature_inside,
   CASE WHEN grain_type NOT IN ('-', 'NA', 'N/A') THEN grain_type END AS grain_type) FROM raw"""
 _C = _R + f", r AS ({_REPLACE})"
-_SPLIT = """, alldays AS (SELECT DISTINCT CAST(detection_time AS DATE) AS day FROM r),
-days AS (SELECT day, CAST(6 - row_number() OVER (ORDER BY day DESC) AS INT) AS forecast_day FROM alldays
-  QUALIFY row_number() OVER (ORDER BY day DESC) <= 5 AND count(*) OVER () > 6),
+
+
+def _split_sql(horizon: int = 5) -> str:
+    """CTEs of the split by the last days; ``e`` has the mean predictions."""
+    return f""", alldays AS (SELECT DISTINCT CAST(detection_time AS DATE) AS day FROM r),
+days AS (SELECT day, CAST({horizon + 1} - row_number() OVER (ORDER BY day DESC) AS INT) AS forecast_day FROM alldays
+  QUALIFY row_number() OVER (ORDER BY day DESC) <= {horizon} AND count(*) OVER () > {horizon + 1}),
 train AS (SELECT * FROM r WHERE CAST(detection_time AS DATE) NOT IN (SELECT day FROM days)),
 held AS (SELECT r.*, forecast_day FROM r JOIN days ON CAST(detection_time AS DATE) = day),
 means AS (SELECT heap_id, avg(temperature_grain) AS predicted_temp FROM train GROUP BY 1),
 e AS (SELECT held.*, predicted_temp FROM held LEFT JOIN means USING (heap_id))"""
+
+
+_SPLIT = _split_sql()
 _S = _C + _SPLIT
 _G = _R + f", r AS ({_REPLACE} WHERE day(detection_time) NOT IN {GAP_DAYS})" + _SPLIT
 
@@ -149,7 +158,7 @@ _STANDARD_COLUMNS = (
 def _(spark, sf_dir):
     rows = sensor_readings(spark, sf_dir).select("row_id", "heap_id", "detection_time", "temperature_grain", "grain_type")
     rows = rows.withColumn("note", F.concat(F.lit("一号仓"), "heap_id"))
-    path = landing.scratch(spark, "gbk")
+    path = scratch(spark, "gbk")
     rd.write_csv(rows, path, "GBK")
     return rd.read_csv(spark, path, rows.schema, "GBK")
 
@@ -162,14 +171,14 @@ def _(spark, sf_dir):
 
 @query("load_readings", _STANDARD)
 def _(spark, sf_dir):
-    path = landing.scratch(spark, "export")
+    path = scratch(spark, "export")
     rd.write_csv(_export(sensor_readings(spark, sf_dir)), path)
     return rd.load_readings(spark, path).select(F.col("row_id").cast("long").alias("row_id"), *_STANDARD_COLUMNS)
 
 
 @query("read_dataset_dir", _R + " SELECT row_id, heap_id, granary_id AS dataset FROM raw WHERE granary_id <> 'G0'")
 def _(spark, sf_dir):
-    path = landing.scratch(spark, "datasets")
+    path = scratch(spark, "datasets")
     rows = sensor_readings(spark, sf_dir).select("row_id", "heap_id", "granary_id")
     for name in ("G0", "G1", "G2"):
         rd.write_csv(rows.where(F.col("granary_id") == name), f"{path}/{name}.csv")
@@ -177,10 +186,84 @@ def _(spark, sf_dir):
     return out.select(F.col("row_id").cast("long").alias("row_id"), "heap_id", "dataset")
 
 
+_NUMBERED = _R + """, f AS (SELECT * REPLACE (row_number() OVER (ORDER BY detection_time, row_id) - 1 AS row_id) FROM raw)"""
+
+
+def _file(spark: SparkSession, sf_dir: str) -> str:
+    """A CSV folder of the readings in time order, without their row_id."""
+    path = scratch(spark, "unnumbered")
+    rd.write_csv(sensor_readings(spark, sf_dir).orderBy(*ORDER).drop("row_id"), path)
+    return path
+
+
+@query("load_readings_numbered", _NUMBERED + " SELECT row_id, detection_time, heap_id, temperature_grain FROM f")
+def _(spark, sf_dir):
+    return rd.load_readings(spark, _file(spark, sf_dir)).select("row_id", "detection_time", "heap_id", "temperature_grain")
+
+
+def _mixed(spark: SparkSession, sf_dir: str) -> str:
+    """Three datasets: two orders of columns, and one with a column more."""
+    path = scratch(spark, "mixed")
+    rows = sensor_readings(spark, sf_dir).withColumn("extra", F.col("row_id") % 5)
+    columns = {"G0": ("row_id", "heap_id", "temperature_outside"), "G1": ("temperature_outside", "row_id", "heap_id"),
+               "G2": ("heap_id", "extra", "temperature_outside", "row_id")}
+    for name, own in columns.items():
+        rd.write_csv(rows.where(F.col("granary_id") == name).select(*own), f"{path}/{name}.csv")
+    return path
+
+
+@query("read_dataset_dir_mixed", _R + """ SELECT row_id, heap_id, temperature_outside, CASE WHEN granary_id = 'G2' THEN row_id % 5 END AS extra,
+  granary_id AS dataset FROM raw""")
+def _(spark, sf_dir):
+    out = rd.read_dataset_dir(spark, _mixed(spark, sf_dir))
+    numbers = {"row_id": "long", "extra": "long", "temperature_outside": "double"}
+    return out.select(*[F.col(c).cast(t).alias(c) for c, t in numbers.items()], "heap_id", "dataset")
+
+
+@query("read_dataset_chosen", _R + " SELECT row_id, heap_id, temperature_outside FROM raw WHERE granary_id = 'G1'")
+def _(spark, sf_dir):
+    out = rd.read_dataset_dir(spark, _mixed(spark, sf_dir), "G1")
+    return out.select(F.col("row_id").cast("long").alias("row_id"), "heap_id", F.col("temperature_outside").cast("double").alias("temperature_outside"))
+
+
+def _faulty(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The export with unreadable and missing times and an unreadable number."""
+    n, rows = F.col("row_id").cast("long"), _export(sensor_readings(spark, sf_dir))
+    at = F.when(n % 37 == 0, "soon").when(n % 41 == 0, F.lit(None)).otherwise(F.col("batch"))
+    return rows.withColumns({"batch": at, "x": F.when(n % 29 == 0, "left").otherwise(F.col("x"))})
+
+
+@query("standardize_rejects", _R + """ SELECT * FROM (SELECT 'detection_time' AS "column", 'unreadable' AS reason, count(*) FILTER (row_id % 37 = 0) AS n FROM raw
+UNION ALL SELECT 'detection_time', 'missing', count(*) FILTER (row_id % 37 <> 0 AND row_id % 41 = 0) FROM raw
+UNION ALL SELECT 'grid_x', 'unreadable', count(*) FILTER (row_id % 29 = 0) FROM raw
+UNION ALL SELECT 'temperature_grain', 'unreadable', count(*) FILTER (row_id % 19 = 0) FROM raw) WHERE n > 0""")
+def _(spark, sf_dir):
+    path = scratch(spark, "ingest")
+    rd.ingest(_faulty(spark, sf_dir), path)
+    return rd.quarantine(spark, path).groupBy("column", "reason").agg(F.count("*").alias("n"))
+
+
+@query("ingest_accepted", _STANDARD + " WHERE row_id % 37 <> 0 AND row_id % 41 <> 0 AND row_id % 29 <> 0 AND row_id % 19 <> 0")
+def _(spark, sf_dir):
+    path = scratch(spark, "ingest")
+    rd.ingest(_faulty(spark, sf_dir), path)
+    return rd.ingested(spark, path).select(F.col("row_id").cast("long").alias("row_id"), *_STANDARD_COLUMNS)
+
+
+@query("readings_store", _R + """ SELECT row_id, granary_id, heap_id, detection_time FROM raw WHERE heap_id = 'G1-H0'
+  AND CAST(detection_time AS DATE) BETWEEN DATE '2024-01-05' AND DATE '2024-01-10'""")
+def _(spark, sf_dir):
+    path = scratch(spark, "store")
+    rows = sensor_readings(spark, sf_dir)
+    rd.write_store(rows, path)
+    rd.write_store(rows.where("day(detection_time) = 7"), path)  # a day that comes again replaces itself
+    return rd.read_store(spark, path, "G1", "G1-H0", "2024-01-05", "2024-01-10").select(*_KEYS, "detection_time")
+
+
 @query("weather_landed", _R + """ SELECT granary_id AS location, detection_time AS time, temperature_outside, humidity_outside FROM raw
 WHERE granary_id = 'G1' AND detection_time BETWEEN TIMESTAMP '2024-01-05 00:00:00' AND TIMESTAMP '2024-01-10 12:00:00'""")
 def _(spark, sf_dir):
-    path = landing.scratch(spark, "weather")
+    path = scratch(spark, "weather")
     rows = sensor_readings(spark, sf_dir)
     named = F.col("granary_id").alias("location"), F.col("detection_time").alias("time")
     landing.land(rows.select(*named, "temperature_outside", "humidity_outside"), path)
@@ -189,7 +272,7 @@ def _(spark, sf_dir):
 
 @query("company_landed", _R + " SELECT DISTINCT granary_id, heap_id FROM raw WHERE granary_id = 'G1'")
 def _(spark, sf_dir):
-    path = landing.scratch(spark, "company")
+    path = scratch(spark, "company")
     heaps = sensor_readings(spark, sf_dir).select("granary_id", "heap_id").distinct()
     landing.land(heaps.withColumn("endpoint", F.lit("heaps")), path, ["endpoint"])
     return landing.read_entity(spark, path, "heaps", "granary_id string, heap_id string", {"granary_id": "G1"})
@@ -197,7 +280,7 @@ def _(spark, sf_dir):
 
 @query("write_csv_roundtrip", _R + " SELECT * FROM raw")
 def _(spark, sf_dir):
-    path = landing.scratch(spark, "csv")
+    path = scratch(spark, "csv")
     rows = sensor_readings(spark, sf_dir)
     rd.write_csv(rows, path)
     return rd.read_csv(spark, path, rows.schema)
@@ -280,6 +363,14 @@ def _(spark, sf_dir):
     return _rounded(_prepared(spark, sf_dir), *TEMPS, *waves).select("row_id", *TEMPS, "grain_type", "year", "month", "day", "hour", *waves, "grid_index")
 
 
+@query("prepare_file", _NUMBERED + f""", r AS ({_REPLACE.replace("FROM raw", "FROM f")})
+SELECT row_id, heap_id, round(coalesce(temperature_grain, avg(temperature_grain) OVER ()), 6) AS temperature_grain,
+  last_value(grain_type IGNORE NULLS) OVER (PARTITION BY heap_id ORDER BY detection_time, row_id ROWS UNBOUNDED PRECEDING) AS grain_type FROM r""")
+def _(spark, sf_dir):
+    out = md.prepare(rd.load_readings(spark, _file(spark, sf_dir)))
+    return _rounded(out, "temperature_grain").select("row_id", "heap_id", "temperature_grain", "grain_type")
+
+
 # ----------------------------------------------------------------- features
 
 
@@ -527,20 +618,48 @@ def _(spark, sf_dir):
     return _rounded(out, "predicted_temp").select(*PROBE, "forecast_day", "detection_time", "predicted_temp")
 
 
-# ------------------------------------------------------------------- models
+_GAPS = """, ends AS (SELECT min(day) AS a, max(day) AS b FROM days),
+missing AS (SELECT CAST(unnest(generate_series(a, b, INTERVAL 1 DAY)) AS DATE) AS day, a FROM ends),
+gaps AS (SELECT day, CAST(datediff('day', a, day) + 1 AS INT) AS offset_days FROM missing WHERE day NOT IN (SELECT day FROM days))"""
 
-_SMALL = {"n_trees": 5, "maxDepth": 4, "measure": False}
 
+@query("evaluate_with_gaps", _G + _GAPS + """ SELECT row_id, granary_id, heap_id, grid_x, grid_y, grid_z, detection_time, forecast_day,
+  CAST(datediff('day', a, CAST(detection_time AS DATE)) + 1 AS INT) AS eval_offset_days, temperature_grain, round(predicted_temp, 6) AS predicted_temp, false AS is_forecast
+FROM e, ends
+UNION ALL SELECT row_id, granary_id, heap_id, grid_x, grid_y, grid_z, detection_time, NULL, NULL, temperature_grain, NULL, false FROM train
+UNION ALL SELECT NULL, p.*, CAST(day AS TIMESTAMP), offset_days, offset_days, NULL, round(predicted_temp, 6), true
+FROM (SELECT DISTINCT granary_id, heap_id, grid_x, grid_y, grid_z FROM train) p CROSS JOIN gaps LEFT JOIN means USING (heap_id)""")
+def _(spark, sf_dir):
+    out = fc.evaluated_with_gaps(*fc.split(_gappy(spark, sf_dir)), fc.mean_predictor)
+    columns = ("detection_time", "forecast_day", "eval_offset_days", "temperature_grain", "predicted_temp", "is_forecast")
+    return _rounded(out, "predicted_temp").select("row_id", *PROBE, *columns)
 
-def _stored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The prepared readings, written once: trees read them many times."""
-    path = landing.scratch(spark, "prepared")
-    _prepared(spark, sf_dir).write.parquet(path)
-    return spark.read.parquet(path)
+
+def _again_sql(horizon: int) -> str:
+    """Rows of one silo after an evaluation over ``horizon`` days."""
+    return f"""SELECT {horizon} AS horizon, * FROM ({_C} {_split_sql(horizon)} {_future_sql("train", horizon)},
+fut AS (SELECT fut0.*, predicted_temp FROM fut0 LEFT JOIN means USING (heap_id))
+SELECT heap_id, forecast_day, temperature_grain, predicted_temp, false AS is_forecast FROM e
+UNION ALL SELECT heap_id, forecast_day, NULL, predicted_temp, true FROM fut WHERE forecast_day NOT IN (SELECT forecast_day FROM e)) WHERE heap_id = 'G1-H0'"""
+
+
+@query("reevaluate", f"""SELECT CAST(horizon AS INT) AS horizon, forecast_day, count(*) FILTER (NOT is_forecast) AS n_actual, count(*) FILTER (is_forecast) AS n_filled,
+  round(avg(predicted_temp), 6) AS pred_mean, round(avg(abs(temperature_grain - predicted_temp)), 6) AS mae
+FROM ({_again_sql(3)} UNION ALL {_again_sql(35)}) GROUP BY 1, 2""")
+def _(spark, sf_dir):
+    store, rows = rs.ResultStore(spark, scratch(spark, "results")), _clean(spark, sf_dir)
+    parts = [rs.reevaluate(store, "heap mean", rows, fc.mean_predictor, h, "G1", "G1-H0") for h in (3, 35)]  # 30 days: the second is all filled
+    out = rs.reevaluation_report(parts[0].unionByName(parts[1]))
+    return _rounded(out, "pred_mean", "mae")
+
+
+# ------------------------------------------------------------------- models
+
+_SMALL = {"n_trees": 5, "maxDepth": 4, "measure": False}
 
 
 def _parts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    return fc.split(_stored(spark, sf_dir))
+    return fc.split(_prepared(spark, sf_dir))
 
 
 def _scored(model: md.Model, rows: DataFrame) -> DataFrame:
@@ -550,34 +669,47 @@ def _scored(model: md.Model, rows: DataFrame) -> DataFrame:
 def _trained(algo: str, **params):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         train, held = _parts(spark, sf_dir)
-        return _scored(md.train(train, algo, **_SMALL | params), held)
+        model = md.train(train, algo, **_SMALL | params)
+        return _scored(model, held).withColumn("trees", F.lit(model.meta["trees"]))
 
     return run
 
 
 query("train_rf")(_trained("rf"))
 query("train_gbt")(_trained("hgb", n_trees=3, maxDepth=3))
+query("train_gbt_early_stop")(_trained("hgb", n_trees=40, maxDepth=3, early_stop=True))
+query("train_gb")(_trained("gb", n_trees=4))
 query("train_gbt_sampled")(_trained("lgbm", n_trees=3, maxDepth=3))
 query("predict")(_trained("rf", future_safe=True))
 
 
 @query("time_series_cv")
 def _(spark, sf_dir):
-    return md.cross_validate(_stored(spark, sf_dir), "rf", n_trees=3, n_splits=3, maxDepth=3).select("row_id", "fold", "predicted_temp")
+    return md.cross_validate(_prepared(spark, sf_dir), "rf", n_trees=3, n_splits=3, maxDepth=3).select("row_id", "fold", "predicted_temp")
+
+
+@query("time_series_cv_metrics")
+def _(spark, sf_dir):
+    found = md.time_series_cv(_prepared(spark, sf_dir), "gb", n_trees=3)
+    pooled = fc.overall_metrics(found.predictions).select("mae", "rmse", "n")
+    return pooled.withColumn("trees", F.lit(found.model.pipeline.stages[-1].getNumTrees))
 
 
-@query("model_save_load")
+@query("model_save_load", _S + " SELECT row_id, true AS agree FROM e")
 def _(spark, sf_dir):
     train, held = _parts(spark, sf_dir)
-    path = landing.scratch(spark, "models")
-    name = md.save_model(md.train(train, "rf", **_SMALL), path, md.model_name("Sensor Readings", "rf", 5))
-    return _scored(md.load_model(spark, name, f"{path}-absent", path), held)
+    path = scratch(spark, "models")
+    model = md.train(train, "rf", **_SMALL)
+    name = md.save_model(model, path, md.model_name("Sensor Readings", "rf", 5))
+    both = md.load_model(spark, name, f"{path}-absent", path).predict(model.predict(held).withColumnRenamed("predicted_temp", "before"))
+    return both.select("row_id", F.col("before").eqNullSafe(F.col("predicted_temp")).alias("agree"))
 
 
-@query("model_registry")
+@query("model_registry", """SELECT * FROM (VALUES ('sensor_readings_fs_rf_5', 'rf', 5, true), ('sensor_readings_rf_5', 'rf', 5, false))
+  m(name, algo, n_trees, future_safe) WHERE EXISTS (SELECT 1 FROM events) ORDER BY name""")
 def _(spark, sf_dir):
     train, _ = _parts(spark, sf_dir)
-    path = landing.scratch(spark, "models")
+    path = scratch(spark, "models")
     for safe in (False, True):
         model = md.train(train, "rf", future_safe=safe, **_SMALL)
         md.save_model(model, path, md.model_name("Sensor Readings", "rf", 5, safe))
@@ -586,7 +718,7 @@ def _(spark, sf_dir):
 
 @query("evaluate_models")
 def _(spark, sf_dir):
-    rows = _stored(spark, sf_dir)
+    rows = _prepared(spark, sf_dir)
     train, _ = fc.split(rows)
     models = {k: md.train(train, k, **_SMALL | {"n_trees": 2, "maxDepth": 3}) for k in ("rf", "lgbm")}
     return md.evaluate(models, rows)
@@ -594,6 +726,6 @@ def _(spark, sf_dir):
 
 @query("forecast")
 def _(spark, sf_dir):
-    rows = _stored(spark, sf_dir)
+    rows = _prepared(spark, sf_dir)
     out = md.forecast(md.train(rows, "rf", future_safe=True, **_SMALL), rows)
     return out.select(*PROBE, "forecast_day", "detection_time", "predicted_temp", "is_forecast")

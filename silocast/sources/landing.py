@@ -1,10 +1,7 @@
-"""Landed JSON of weather and company services, and shared scratch folders."""
+"""Landed JSON of weather and company services."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,18 +12,6 @@ WEATHER = "location string, time timestamp_ntz, temperature_outside double, humi
 ENDPOINTS = ("granaries", "heaps", "sensors", "operations")
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that driver and executors share; where none
-    is named and all runs on one machine, in a temporary one."""
-    top = spark.conf.get("spark.checkpoint.dir", None)
-    if not top:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        top = "file://" + tempfile.mkdtemp(prefix="silocast-")
-        spark.conf.set("spark.checkpoint.dir", top)
-    return f"{top.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 def _json(spark: SparkSession, path: str, schema) -> DataFrame:
     """The landed records, or an empty frame of ``schema`` where none landed."""
     try:
