@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -110,18 +111,21 @@ def fingerprints(docs: DataFrame, k: int, words: int = 1) -> DataFrame:
 
 
 def trie_links(
-    a: np.ndarray, b: np.ndarray | None, budget: int, depth: int, err: int = 0, leaf: int = 256, most: int = 1 << 17
+    a: np.ndarray, b: np.ndarray | None, budget: int, depth: int, err: int = 0, leaf: int = 256, most: int = 1 << 17,
+    start: np.ndarray | None = None,
 ) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Index pairs (i, j) of keys that differ in ``budget`` bits at most.
 
     ``a`` and ``b`` are sorted uint64 keys, each below one trie node at
     ``depth`` (bits from the top); ``err`` bits of those two paths differ.
     ``b`` None: pairs within ``a``, i < j. Nodes are ranges of the sorted
-    keys. Pairs of small nodes are compared key by key.
+    keys; ``start``: walk from these pairs of nodes at ``depth``, rows of first
+    and end in ``a``, first and end in ``b``, differing bits. Pairs of small
+    nodes are compared key by key.
     """
     own = b is None
     b = a if own else b
-    full = np.array([[0, len(a), 0, len(b), err]], dtype=np.int64)
+    full = np.array([[0, len(a), 0, len(b), err]], dtype=np.int64) if start is None else start
     todo = [(depth, full)]
     while todo:
         d, f = todo.pop()
@@ -228,163 +232,105 @@ class Forest:
         return np.array(took, dtype=np.int64)
 
 
-def _subtrees(keys: DataFrame, most: int, stride: int = 12) -> np.ndarray:
-    """The trie's top, cut: rows (table, lowest key, depth) of subtrees that
-    hold ``most`` keys at most (or share all 64 bits). Spark counts keys by
-    prefix; the driver sees counts of prefixes only, and asks for longer
-    prefixes only below nodes that are still too large."""
-    out: list[tuple[int, int, int]] = []
-    counted = (
-        keys.groupBy("t", F.shiftrightunsigned("key", 64 - stride).alias("p")).count().collect()
-    )
-    work = [(0, stride, {(r.t, r.p): r["count"] for r in counted})]
-    while work:
-        base, depth, counts = work.pop()
-        large = []
-        sums = [counts]
-        for _ in range(depth - base):
-            up: dict = {}
-            for (t, p), n in sums[-1].items():
-                up[t, p >> 1] = up.get((t, p >> 1), 0) + n
-            sums.append(up)
-        sums.reverse()  # sums[i]: at depth base + i
-        stack = [(key, 0) for key in sums[0]]
-        while stack:
-            (t, p), i = stack.pop()
-            n, d = sums[i].get((t, p), 0), base + i
-            if n == 0:
-                continue
-            if n <= most or d == 64:
-                out.append((t, p << (64 - d), d))
-            elif d == depth:
-                large.append((t, p))
-            else:
-                stack += [((t, 2 * p), i + 1), ((t, 2 * p + 1), i + 1)]
-        if large:
-            to = min(64, depth + stride)
-            wanted = keys.sparkSession.createDataFrame(
-                [(t, p - 2**depth if depth == 64 and p >= 2**63 else p) for t, p in large], "t int, up long"
-            )
-            found = (
-                keys.withColumn("up", F.shiftrightunsigned("key", 64 - depth))
-                .join(F.broadcast(wanted), ["t", "up"])
-                .groupBy("t", F.shiftrightunsigned("key", 64 - to).alias("p"))
-                .count()
-                .collect()
-            )
-            mask = 2**to - 1
-            work.append((depth, to, {(r.t, r.p & mask): r["count"] for r in found}))
-    return np.array(sorted(out), dtype=object).reshape(-1, 3)
-
-
-def _subtree_pairs(lows: np.ndarray, depths: np.ndarray, budget: int, equal: int) -> list[tuple[int, int, int]]:
-    """(i, j, differing bits) for the subtrees of one table whose common
-    depths differ in ``budget`` bits at most, and not within the first
-    ``equal`` bits. ``lows`` is sorted, so partners lie side by side."""
-    out = []
-    head = lows >> np.uint64(64 - equal) if equal else np.zeros(len(lows), np.uint64)
-    ends = np.searchsorted(head, head, side="right")
-    for i in range(len(lows)):
-        if depths[i] <= equal:
-            out.append((i, i, 0))
-            continue
-        d = np.minimum(depths[i], depths[i : ends[i]])
-        drop = (64 - d).astype(np.uint64)
-        x = lows[i] ^ lows[i : ends[i]]
-        x = np.where(d == 0, np.uint64(0), x >> np.minimum(drop, np.uint64(63)))
-        e = np.bitwise_count(x).astype(int)
-        out += [(i, i + int(j), int(e[j])) for j in np.flatnonzero(e <= budget)]
-    return out
+#: keys of a group up to which one task walks its trie; larger groups are divided first
+GROUP = 1 << 16
+#: keys that a task walks at once, and the groups up to which their names are broadcast
+BLOCK, FEW = 1 << 16, 100_000
 
 
-def trie_join(
-    classes: DataFrame, budget: int, tables: int = 1, width: int = 64, far: int | None = None, most: int = 16384,
-    turns: int = 1,
-) -> DataFrame:
-    """Links (src, dst, bits) between ``classes`` (node long, sig binary) whose
-    ``width``-bit keys differ in ``budget`` bits at most in one of ``tables``
-    tables; table t has the bits from t * width on. ``far``: links whose whole
-    sigs differ in more bits are dropped.
-
-    ``turns`` > 1 walks as many tries per table, the key turned by a
-    ``turns``-th of its bits each time, and pairs subtrees only where that
-    first part is equal. With ``turns`` above ``budget`` some part of every
-    linked pair is equal, so no link is lost, and a key goes to ``turns``
-    groups however deep the tries are cut (to more only where over ``most``
-    keys share a whole part). Each group of the join returns a
-    minimum spanning forest of its links (by differing bits of the sig)."""
-    spark = classes.sparkSession
-    part, inside = width // turns, np.uint64((1 << 64) - (1 << (64 - width)))
+def _turned(keys: DataFrame, fixed: int, part: int, turns: int) -> DataFrame:
+    """Each of ``keys`` (path, key, node) ``turns`` times: the first ``fixed``
+    bits stay, the others are turned by 0, 1, ... times ``part`` bits, and the
+    path says how."""
+    rest = 64 - fixed
+    low = np.uint64((1 << rest) - 1)
 
-    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sig = np.frombuffer(b"".join(batch.column(1).to_pylist()), dtype="<u8").reshape(batch.num_rows, -1)
-            for t in range(tables * turns):
-                at, off = divmod(t // turns * width, 64)
-                key = (sig[:, at] >> np.uint64(off)) << np.uint64(64 - width)
-                by = t % turns * part
-                if by:
-                    key = (key << np.uint64(by)) | (key >> np.uint64(width - by)) & inside
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(batch.num_rows, t, np.int32)), pa.array(key.view(np.int64)), *batch.columns],
-                    names=["t", "key", "node", "sig"],
-                )
+            path, key = batch.column(0).to_numpy(), batch.column(1).to_numpy().view(np.uint64)
+            for t in range(turns):
+                at, inner = np.uint64(t * part), key & low
+                new = key & ~low | (inner << at | inner >> np.uint64(rest - t * part)) & low if t else key
+                yield pa.RecordBatch.from_arrays([pa.array(path * turns + t), pa.array(new.view(np.int64)), batch.column(2)], names=["path", "key", "node"])
 
-    keys = classes.select("node", "sig").mapInArrow(keyed, "t int, key long, node long, sig binary")
-    cut = _subtrees(keys, most)
-    lows, depths, of_table = np.array(cut[:, 1], dtype=np.uint64), np.array(cut[:, 2], dtype=np.int64), cut[:, 0].astype(int)
-    pairs: list[tuple[int, int, int, int]] = []  # depth, differing bits, and the two subtrees
-    where = {t: np.flatnonzero(of_table == t) for t in range(tables * turns)}
-    for own in where.values():
-        for i, j, e in _subtree_pairs(lows[own], depths[own], budget, part if turns > 1 else 0):
-            pairs.append((int(min(depths[own[i]], depths[own[j]])), e, int(own[i]), int(own[j])))
-    member: list[list[tuple[int, int]]] = [[] for _ in range(len(cut))]
-    for k, (_, _, i, j) in enumerate(pairs):
-        member[i].append((k, 0))
-        if i != j:
-            member[j].append((k, 1))
-    counts = np.array([len(m) for m in member], dtype=np.int64)
-    firsts = np.cumsum(counts) - counts
-    flat = np.array([x for m in member for x in m], dtype=np.int64).reshape(-1, 2)
-    plan = spark.sparkContext.broadcast((lows, where, counts, firsts, flat, pairs))
-
-    def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lows, where, counts, firsts, flat, _ = plan.value
-        for batch in batches:
-            t, key = batch.column(0).to_numpy(), batch.column(1).to_numpy().view(np.uint64)
-            leaf = np.empty(len(t), dtype=np.int64)
-            for x in np.unique(t):
-                at = t == x
-                leaf[at] = where[x][np.searchsorted(lows[where[x]], key[at], side="right") - 1]
-            n = counts[leaf]
-            row = np.repeat(np.arange(len(t)), n)
-            take = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n) + firsts[leaf[row]]
-            for at in range(0, len(row), 20000):
-                r, f = row[at : at + 20000], flat[take[at : at + 20000]]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(f[:, 0]), pa.array(f[:, 1].astype(np.int32)), *(c.take(pa.array(r)) for c in batch.columns[1:])],
-                    names=["pair", "side", "key", "node", "sig"],
-                )
+    return keys.mapInArrow(run, "path long, key long, node long")
 
-    def walked(group: pa.Table) -> pa.Table:
-        depth, err, i, j = plan.value[5][group.column("pair")[0].as_py()]
-        side = group.column("side").to_numpy()
-        key = group.column("key").to_numpy().view(np.uint64)
-        node = group.column("node").to_numpy()
-        sig = np.frombuffer(b"".join(group.column("sig").to_pylist()), dtype="<u8").reshape(len(key), -1)
-        order = np.lexsort((node, key, side))
-        side, key, node, sig = side[order], key[order], node[order], sig[order]
-        n = int((side == 0).sum())
+
+def _walked(keys: DataFrame, depth: int, budget: int) -> DataFrame:
+    """Links (src, dst, bits) among ``keys`` (path, key, node) of one path that
+    are equal in their first ``depth`` bits and differ in ``budget`` bits at
+    most: a task walks the tries of its groups, some of them at a time, and
+    returns a minimum spanning forest of their links."""
+
+    def links(path: np.ndarray, key: np.ndarray, node: np.ndarray) -> pa.RecordBatch:
+        order = np.lexsort((node, key, path))
+        path, key, node = path[order], key[order], node[order]
         forest = Forest(len(key))
-        for u, v in trie_links(key[:n], None if i == j else key[n:], budget, depth, err):
-            v = v if i == j else v + n
-            w = np.bitwise_count(sig[u] ^ sig[v]).sum(axis=1).astype(np.int64)
-            ok = slice(None) if far is None else w <= far
-            forest.add(u[ok], v[ok], w[ok])
-        return pa.table({"src": node[forest.u], "dst": node[forest.v], "bits": forest.w.astype(np.int32)})
+        ends = np.flatnonzero(np.diff(path)) + 1
+        for a, b in zip([0, *ends.tolist()], [*ends.tolist(), len(path)], strict=True):
+            head = key[a:b] >> np.uint64(64 - depth)
+            cut = np.concatenate([[0], np.flatnonzero(np.diff(head)) + 1, [b - a]])
+            nodes = np.stack([cut[:-1], cut[1:], cut[:-1], cut[1:], np.zeros(len(cut) - 1, np.int64)], 1)
+            nodes = nodes[nodes[:, 1] - nodes[:, 0] > 1]
+            for u, v in trie_links(key[a:b], None, budget, depth, start=nodes):
+                forest.add(u + a, v + a, np.bitwise_count(key[u + a] ^ key[v + a]).astype(np.int64))
+        return pa.RecordBatch.from_arrays([pa.array(node[forest.u]), pa.array(node[forest.v]), pa.array(forest.w.astype(np.int32))], names=["src", "dst", "bits"])
 
-    rows = keys.mapInArrow(dealt, "pair long, side int, key long, node long, sig binary")
-    return rows.groupBy("pair").applyInArrow(walked, "src long, dst long, bits int")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [np.empty(0, np.int64)] * 3
+        for batch in batches:
+            held = [np.concatenate([h, c.to_numpy()]) for h, c in zip(held, batch.columns, strict=True)]
+            if len(held[0]) < BLOCK:
+                continue
+            head = held[1].view(np.uint64) >> np.uint64(64 - depth)
+            ends = np.flatnonzero((np.diff(held[0]) != 0) | (np.diff(head) != 0))
+            if len(ends):  # the last group may go on
+                yield links(held[0][: ends[-1] + 1], held[1][: ends[-1] + 1].view(np.uint64), held[2][: ends[-1] + 1])
+                held = [h[ends[-1] + 1 :] for h in held]
+        if len(held[0]):
+            yield links(held[0], held[1].view(np.uint64), held[2])
+
+    prefix = F.shiftrightunsigned("key", 64 - depth)
+    dealt = keys.select("path", "key", "node").repartition("path", prefix).sortWithinPartitions("path", "key")
+    return dealt.mapInArrow(run, "src long, dst long, bits int")
+
+
+def trie_join(classes: DataFrame, budget: int, most: int = GROUP) -> DataFrame:
+    """Links (src, dst, bits) between ``classes`` (node long, sig of 8 bytes,
+    all different) whose keys differ in ``budget`` bits at most.
+
+    A key is dealt ``budget`` + 1 times, turned by as many parts of its bits:
+    two keys within the budget are equal in one of the parts, so they meet in
+    the group of that part, whose trie one task walks. A group of more than
+    ``most`` keys is divided in the same way by its other bits, and so on until
+    none is left; 16 bits hold no more than 65,536 keys, so that ends. Spark
+    counts the groups; the driver learns only whether one is too large. Of each
+    block of groups a minimum spanning forest comes back.
+    """
+    turns = budget + 1
+
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            key = np.frombuffer(b"".join(batch.column(1).to_pylist()), dtype="<i8")
+            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(key), np.int64)), pa.array(key), batch.column(0)], names=["path", "key", "node"])
+
+    rows, fixed, out = classes.select("node", "sig").mapInArrow(keyed, "path long, key long, node long"), 0, []
+    while True:
+        part = max(1, (64 - fixed) // turns)
+        rows, fixed = _turned(rows, fixed, part, turns), fixed + part
+        prefix = F.shiftrightunsigned("key", 64 - fixed).alias("p")
+        large = stored(rows.groupBy("path", prefix).agg(F.count("*").alias("c")).where(F.col("c") > most).select("path", "p"), "large-groups")
+        n = large.count() if 64 - fixed > 16 else 0
+        if not n:
+            discard(large)
+            out.append(_walked(rows, fixed, budget))
+            break
+        large = large.withColumn("large", F.lit(True))
+        marked = rows.select("*", prefix).join(F.broadcast(large) if n <= FEW else large, ["path", "p"], "left")
+        marked = stored(marked, "groups")
+        out.append(_walked(marked.where("large is null"), fixed, budget))
+        rows = marked.where("large").select("path", "key", "node")
+    return reduce(DataFrame.union, out)
 
 
 # ------------------------------------------------- links by exact similarity
@@ -527,7 +473,7 @@ def similar_components(docs: DataFrame, k: int = 5, low: float = 0.8, budget: in
 
     # the text that near copies were made from is in the largest bands: it is the centre first
     first = star(members.withColumn("root", F.col("node")), "weight", F.xxhash64("node"))
-    links = verified(first.union(trie_join(classes.select("node", "sig"), budget, turns=budget + 1).select("src", "dst")))
+    links = verified(first.union(trie_join(classes.select("node", "sig"), budget).select("src", "dst")))
     roots, at = joined(links)
     links = links.union(verified(star(at, F.xxhash64("node"))))
     roots, at = joined(links)
@@ -562,7 +508,7 @@ def simhash_components(docs: DataFrame, k: int = 3, budget: int = 2) -> DataFram
     sig = fingerprints(docs, k)
     rows = stored(sig.select("doc_id", "sig"), "simhash")
     classes = rows.groupBy("sig").agg(F.min("doc_id").alias("first")).select(_as_long("sig").alias("node"), "sig", "first")
-    links = trie_join(classes, budget, turns=budget + 1).select("src", "dst")
+    links = trie_join(classes, budget).select("src", "dst")
     roots = connected_components(links)
     members = classes.select("node", "first").join(roots, "node")
     least = members.groupBy("root").agg(F.min("first").alias("component_id"))
