@@ -1,8 +1,9 @@
 """Exact substring dedup by hashing lines and runs of words (operator 9).
 
-Units are whole lines of ``min_words`` words or more and, so that a passage
-with other line breaks or inside another line is found too, runs of ``RUN``
-words chosen by their own hashes. Units are normalised and hashed; digests are
+Units are whole texts and paragraphs, lines of ``min_words`` words or more,
+shorter lines together with their neighbours and, so that a passage with other
+line breaks or inside another line is found too, runs of ``RUN`` words chosen
+by their own hashes. Units are normalised and hashed; digests are
 grouped globally with a partial aggregate on the map side, the earliest ranked
 occurrence is kept and the others are cut out of their texts. The few digests
 that hold a large share of all units are broadcast, so no task gets all
@@ -25,6 +26,7 @@ from .common import discard, stored, table
 
 WORD = re.compile(r"[^\W_]+")
 LINE = re.compile(r"[^\n\r]+")
+BLANK = re.compile(r"(?:\r\n?|\n)[ \t]*(?:\r\n?|\n)[ \t\r\n]*")
 MARKS = re.compile(r"\S*")
 #: words of a run that is hashed wherever the lines around it break
 RUN = 25
@@ -56,18 +58,41 @@ def word_runs(text: str, size: int) -> Iterator[tuple[int, int, list[str]]]:
             yield places[a][0], MARKS.match(text, last, after).end(), words[a : a + size]
 
 
+def _digest(kind: str, *lines: list[str]) -> bytes:
+    """Of words; ``kind`` keeps units of different kinds apart."""
+    return xxhash.xxh3_128_digest("\n".join([kind, *(" ".join(x) for x in lines)]).encode("utf-8", "surrogatepass"))
+
+
 def line_units(text: str, min_words: int) -> Iterator[tuple[int, int, bytes]]:
-    """(start, end, 16-byte digest), by place: the lines of ``min_words`` words
-    or more, and the runs of ``word_runs``.
-    Units equal but for case, punctuation and white space have equal digests."""
-    out: dict[tuple[int, int], bytes] = {}
-    for first, last, words in word_runs(text, RUN):
-        out[first, last] = xxhash.xxh3_128_digest(b" " + " ".join(words).encode("utf-8", "surrogatepass"))
-    for m in LINE.finditer(text):
-        words = WORD.findall(m.group().lower())
-        if len(words) >= min_words:
-            out[m.span()] = xxhash.xxh3_128_digest(" ".join(words).encode("utf-8", "surrogatepass"))
-    yield from ((first, last, d) for (first, last), d in sorted(out.items()))
+    """(start, end, 16-byte digest), by place, of the units of a text:
+
+    * the whole text, and each paragraph between blank lines, of any length;
+    * each line of ``min_words`` words or more;
+    * each three lines that follow one another, one of them shorter: a short
+      line goes only together with its neighbours;
+    * the runs of ``word_runs``.
+
+    Lines without a word are passed over; three lines that overlap their own
+    copy are left out. Units equal but for case, punctuation and white space
+    have equal digests."""
+    out = {(a, b, _digest("run", words)) for a, b, words in word_runs(text, RUN)}
+    lines = [(m.start(), m.end(), WORD.findall(m.group().lower())) for m in LINE.finditer(text)]
+    lines = [x for x in lines if x[2]]
+    if lines:
+        out.add((0, len(text), _digest("text", [w for x in lines for w in x[2]])))
+    out.update((a, b, _digest("line", words)) for a, b, words in lines if len(words) >= min_words)
+    ends: dict[bytes, int] = {}
+    for three in zip(lines, lines[1:], lines[2:], strict=False):
+        if min(len(x[2]) for x in three) < min_words:
+            d = _digest("lines", *(x[2] for x in three))
+            if ends.get(d, -1) < three[0][0]:
+                ends[d] = three[2][1]
+                out.add((three[0][0], three[2][1], d))
+    if len(breaks := [m.span() for m in BLANK.finditer(text)]) > 0:
+        for a, b in zip([0, *(e for _, e in breaks)], [*(s for s, _ in breaks), len(text)], strict=True):
+            if words := WORD.findall(text[a:b].lower()):
+                out.add((a, b, _digest("text", words)))
+    yield from sorted(out)
 
 
 def without_spans(text: str, spans: list[tuple[int, int]]) -> str:
@@ -125,10 +150,12 @@ def without_lines(docs: DataFrame, min_words: int = 20) -> DataFrame:
     """``docs`` with repeated units cut out of ``text``, plus ``removed``:
     array of (first, last), ranges of code points of the original text.
 
-    Units are lines of ``min_words`` words or more and runs of ``RUN`` words
-    (``line_units``). A passage of 2 * RUN words or more is found whatever
-    stands around it, but up to RUN words at each of its ends may stay; shorter
-    repeated lines and sentences stay. The earliest occurrence, by doc_id (null
+    Units (``line_units``) are whole texts and paragraphs of any length, lines
+    of ``min_words`` words or more, three lines in a row, and runs of ``RUN``
+    words. A passage of 2 * RUN words or more is found whatever stands around
+    it, but up to RUN words at each of its ends may stay; one or two repeated
+    lines shorter than ``min_words`` stay, unless they are a text or paragraph.
+    The earliest occurrence, by doc_id (null
     last) and place, stays. Blanks after a cut unit go with it, and so does the
     break of an emptied line. Null texts stay null; empty texts stay as they
     are; very long texts count whole. Rows of equal doc_id and text are one

@@ -1,12 +1,14 @@
 """Each operator against brute force or its contract; nulls, ties, empties."""
 
 import collections
+import re
 import textwrap
 import zlib
 
 import duckdb
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from silocast.llm import imatch, langid, licenses, linededup, mixing, packing, sharding, toxicity, vectors
@@ -189,20 +191,78 @@ def test_toxicity(spark, odd):
     assert toxicity.toxic_scores(odd, toxicity.fit(odd, none)).count() == 10
 
 
+def plain_units(text, size=25, least=20):
+    """The units of operator 9 as its docstring has them, step by step: each as
+    (start, end, what it is)."""
+    text, units = text or "", []
+    marks = [(m.start(), m.end(), m.group().lower()) for m in re.finditer(r"[^\W_]+", text)]
+    mask = 2**64 - 1
+    if len(marks) >= 2 * size:
+        h = [xxhash.xxh3_64_intdigest(w.encode()) for *_, w in marks]
+        value = []
+        for i in range(len(h) - size + 1):
+            x = 0
+            for y in h[i : i + size]:
+                x = (x * 0x9E3779B97F4A7C15 + y) & mask
+            value.append(((x ^ x >> 29) * 0xBF58476D1CE4E5B9) & mask)
+        chosen = sorted({min(range(i, i + size + 1), key=lambda j: (value[j], j)) for i in range(len(value) - size)})
+        last: dict = {}
+        for i in chosen:
+            if last.get(value[i], 0) <= i:
+                last[value[i]] = i + size
+                end = marks[i + size - 1][1]
+                stop = marks[i + size][0] if i + size < len(marks) else len(text)
+                while end < stop and not text[end].isspace():
+                    end += 1
+                units.append((marks[i][0], end, ("run", *(w for *_, w in marks[i : i + size]))))
+    lines, at = [], 0
+    for line in re.split(r"[\n\r]", text):
+        words = tuple(re.findall(r"[^\W_]+", line.lower()))
+        if words:
+            lines.append((at, at + len(line), words))
+        at += len(line) + 1
+    if lines:
+        units.append((0, len(text), ("text", *(w for x in lines for w in x[2]))))
+    units += [(a, b, ("line", *w)) for a, b, w in lines if len(w) >= least]
+    until: dict = {}
+    for i in range(len(lines) - 2):
+        what = ("lines", *(x[2] for x in lines[i : i + 3]))
+        if any(len(x[2]) < least for x in lines[i : i + 3]) and until.get(what, -1) < lines[i][0]:
+            until[what] = lines[i + 2][1]
+            units.append((lines[i][0], lines[i + 2][1], what))
+    return units
+
+
+def plain_spans(rows):
+    """By doc_id the repeated ranges of rows (doc_id, text) in order."""
+    seen, out = {}, {}
+    for d, text in rows:
+        own = sorted(plain_units(text), key=lambda u: u[0])
+        for a, _, what in own:
+            seen.setdefault(what, (d, a))
+        out[d] = sorted({(a, b) for a, b, what in own if seen[what] != (d, a)})
+    return out
+
+
 def test_line_dedup(spark, odd):
-    seen, want = set(), {}
-    for r in sorted(spark.read.parquet(f"{SF}/documents.parquet").collect(), key=lambda r: r.doc_id):
-        spans = []
-        for a, b, d in linededup.line_units(r.text or "", 20):
-            if d in seen:
-                spans.append((a, b))
-            seen.add(d)
-        want[r.doc_id] = spans
-    assert {r.doc_id: [tuple(x) for x in r.removed] for r in linededup.op9(spark, SF).collect()} == want
+    rows = sorted((r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").collect())
+    assert {r.doc_id: [tuple(x) for x in r.removed] for r in linededup.op9(spark, SF).collect()} == plain_spans(rows)
     got = sorted(str((r.doc_id, r.text and r.text[:9])) for r in linededup.without_lines(odd).collect())
     assert len(got) == 10 and "(4, 'one two t')" in got and "(9, '')" in got
 
 
+def test_short_copies_go(spark):
+    """Whole copies, paragraphs and short lines among repeated neighbours go; a short line alone stays."""
+    lines = [" ".join(f"{a}{i}" for i in range(10)) for a in "abcd"]
+    para = "Nineteen words of a note: " + " ".join(f"n{i}" for i in range(14)) + "."
+    rows = [(1, "\n".join(lines)), (2, "\n".join(lines)), (3, "Own text first.\n" + "\n".join(lines).upper() + "\nMore of its own."), (4, "Hi."), (5, "hi"), (6, "Hi.\nthere"),
+            (7, f"{para}\n\nIts own one."), (8, f"Another text.\n \n{para}\n\nEnd."), (9, lines[0] + "\nsomething else"), (10, "x y\n" * 7), (11, " \n.")]
+    out = {r.doc_id: r.text for r in linededup.without_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert out[1] == rows[0][1] and out[2] == "" and out[3].split() == "Own text first. More of its own.".split()
+    assert out[4] == "Hi." and out[5] == "" and out[6] == "Hi.\nthere" and out[7] == rows[6][1] and out[8].split() == ["Another", "text.", "End."]
+    assert out[9] == rows[8][1] and out[10].split() == ["x", "y"] * 4 and out[11] == " \n."
+
+
 def test_lines_of_enough_words(spark):
     line = " ".join(f"word{i}" for i in range(20))
     rows = [(1, f"Top\n{line}\nEnd"), (2, f"  {line.upper()}!\r\nOther end"), (3, " ".join(line.split()[:19]) + "\nshort\nshort"), (None, line)]
