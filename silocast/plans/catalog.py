@@ -618,6 +618,15 @@ def _(spark, sf_dir):
     return _rounded(out, "predicted_temp").select(*PROBE, "forecast_day", "detection_time", "predicted_temp")
 
 
+@query("gap_fill_no_probe", _G + """, ends AS (SELECT min(day) AS a, max(day) AS b FROM days),
+missing AS (SELECT CAST(unnest(generate_series(a, b, INTERVAL 1 DAY)) AS DATE) AS day, a FROM ends)
+SELECT CAST(day AS TIMESTAMP) AS detection_time, CAST(datediff('day', a, day) + 1 AS INT) AS forecast_day, CAST(NULL AS DOUBLE) AS temperature_grain
+FROM missing WHERE day NOT IN (SELECT day FROM days)""")
+def _(spark, sf_dir):
+    train, held = fc.split(_gappy(spark, sf_dir).drop(*PROBE))  # one row stands for all probes
+    return fc.gap_fill(train, held).select("detection_time", "forecast_day", "temperature_grain")
+
+
 _GAPS = """, ends AS (SELECT min(day) AS a, max(day) AS b FROM days),
 missing AS (SELECT CAST(unnest(generate_series(a, b, INTERVAL 1 DAY)) AS DATE) AS day, a FROM ends),
 gaps AS (SELECT day, CAST(datediff('day', a, day) + 1 AS INT) AS offset_days FROM missing WHERE day NOT IN (SELECT day FROM days))"""

@@ -18,7 +18,7 @@ def scratch(spark: SparkSession, name: str) -> str:
     folder goes when it ends."""
     top = spark.conf.get("spark.checkpoint.dir", None)
     if not top:
-        if not spark.sparkContext.master.startswith("local"):
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
             raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         top = "file://" + tempfile.mkdtemp(prefix="silocast-")
         spark.conf.set("spark.checkpoint.dir", top)
