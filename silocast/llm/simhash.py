@@ -111,7 +111,7 @@ def fingerprints(docs: DataFrame, k: int, words: int = 1) -> DataFrame:
 
 
 def trie_links(
-    a: np.ndarray, b: np.ndarray | None, budget: int, depth: int, err: int = 0, leaf: int = 256, most: int = 1 << 17,
+    a: np.ndarray, b: np.ndarray | None, budget: int, depth: int, err: int = 0, leaf: int = 256, most: int = 1 << 15,
     start: np.ndarray | None = None,
 ) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Index pairs (i, j) of keys that differ in ``budget`` bits at most.
@@ -156,7 +156,7 @@ def trie_links(
             d += 1
 
 
-def _compare(a, b, own, f, budget, most: int = 1 << 21):
+def _compare(a, b, own, f, budget, most: int = 1 << 18):
     """Links among the keys of small node pairs ``f``, in bounded steps."""
     na, nb = f[:, 1] - f[:, 0], f[:, 3] - f[:, 2]
     rows_to = np.cumsum(na)
@@ -235,19 +235,21 @@ class Forest:
 #: keys of a group up to which one task walks its trie; larger groups are divided first
 GROUP = 1 << 16
 #: keys that a task walks at once, and the groups up to which their names are broadcast
-BLOCK, FEW = 1 << 16, 100_000
+BLOCK, FEW = 1 << 14, 100_000
 
 
 def _turned(keys: DataFrame, fixed: int, part: int, turns: int) -> DataFrame:
-    """Each of ``keys`` (path, key, node) ``turns`` times: the first ``fixed``
-    bits stay, the others are turned by 0, 1, ... times ``part`` bits, and the
-    path says how."""
+    """Each of ``keys`` (path, key, node; a binary key is eight bytes, the
+    lowest first) ``turns`` times: the first ``fixed`` bits stay, the others
+    are turned by 0, 1, ... times ``part`` bits, and the path says how."""
     rest = 64 - fixed
     low = np.uint64((1 << rest) - 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            path, key = batch.column(0).to_numpy(), batch.column(1).to_numpy().view(np.uint64)
+            path, key = batch.column(0).to_numpy(), batch.column(1)
+            raw = pa.types.is_binary(key.type)
+            key = np.frombuffer(b"".join(key.to_pylist()), "<u8") if raw else key.to_numpy().view(np.uint64)
             for t in range(turns):
                 at, inner = np.uint64(t * part), key & low
                 new = key & ~low | (inner << at | inner >> np.uint64(rest - t * part)) & low if t else key
@@ -309,12 +311,7 @@ def trie_join(classes: DataFrame, budget: int, most: int = GROUP) -> DataFrame:
     """
     turns = budget + 1
 
-    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            key = np.frombuffer(b"".join(batch.column(1).to_pylist()), dtype="<i8")
-            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(key), np.int64)), pa.array(key), batch.column(0)], names=["path", "key", "node"])
-
-    rows, fixed, out = classes.select("node", "sig").mapInArrow(keyed, "path long, key long, node long"), 0, []
+    rows, fixed, out = classes.select(F.lit(0).cast("long").alias("path"), F.col("sig").alias("key"), "node"), 0, []
     while True:
         part = max(1, (64 - fixed) // turns)
         rows, fixed = _turned(rows, fixed, part, turns), fixed + part
