@@ -68,8 +68,7 @@ class Voters:
         v = np.zeros(self.n, np.int8)
         v[: len(LEXICON)] = [w in words for w in LEXICON]
         v[[self.at[x] for x in items(words) & self.at.keys()]] = 1
-        if v[: len(LEXICON)].any():
-            v[-1 - len(PATTERNS) : -1] = [bool(p.search(low)) for p in PATTERNS]
+        v[-1 - len(PATTERNS) : -1] = [bool(p.search(low)) for p in PATTERNS]
         v[-1] = not v[:-1].any()
         return v
 
@@ -91,32 +90,39 @@ class Scorer:
 
 
 class LabelModel:
-    """Rates at which each voter fires in toxic and other texts, by EM."""
+    """Rates at which each voter fires in toxic and other texts, by EM.
+
+    The given label is a voter like the others: how often it is right is
+    estimated, in either class. Voters that agree beyond what the classes
+    explain share one vote: each round works out the correlations of what the
+    present rates leave unexplained, and weighs the voters by them.
+    """
 
     def __init__(self, votes: np.ndarray, labels: np.ndarray, rounds: int = 30, trust: float = 0.95):
-        """``labels``: 1, 0 or -1 (unknown); a known one is true with ``trust``."""
+        """``labels``: 1, 0 or -1 (unknown); EM begins with ``trust`` in a known one."""
         n, k = votes.shape
-        known = np.where(labels == 1, trust, np.where(labels == 0, 1 - trust, 0.5))
-        q = np.where(labels == -1, np.where(votes[:, : k - 1].any(axis=1), 0.6, 0.03), known)
-        self.share = np.ones(k)
+        known = labels >= 0
+        q = np.where(labels == 1, trust, np.where(labels == 0, 1 - trust, np.where(votes[:, : k - 1].any(axis=1), 0.6, 0.03)))
         for _ in range(rounds):
             self.prior = float(np.clip(q.mean(), 0.005, 0.5))
             self.rates = np.stack([(w @ votes + 0.1) / (w.sum() + 10) for w in (1 - q, q)])
-            q = self.posterior(votes, known)
-        rest = votes - (q[:, None] * self.rates[1] + (1 - q)[:, None] * self.rates[0])
-        size = np.sqrt((rest**2).sum(axis=0)) + 1e-9
-        self.correlation = (rest.T @ rest) / np.outer(size, size)
-        # a voter that others repeat counts for its part of their common vote
-        again = np.clip(np.abs(self.correlation) - np.eye(k), 0, None)
-        self.share = 1 / (1 + np.where(again > 0.3, again, 0).sum(axis=1))
-        self.labels = self.posterior(votes, known)
-
-    def posterior(self, votes: np.ndarray, known: np.ndarray | None = None) -> np.ndarray:
+            self.said = [float(np.clip(((w * (labels == 1)).sum() + 10 * p) / ((w * known).sum() + 10), 0.01, 0.99)) for w, p in ((1 - q, 1 - trust), (q, trust))]
+            rest = votes - (q[:, None] * self.rates[1] + (1 - q)[:, None] * self.rates[0])
+            size = np.sqrt((rest**2).sum(axis=0)) + 1e-9
+            self.correlation = (rest.T @ rest) / np.outer(size, size)
+            again = np.clip(np.abs(self.correlation) - np.eye(k), 0, None)
+            self.share = 1 / (1 + np.where(again > 0.3, again, 0).sum(axis=1))
+            q = self.posterior(votes, labels)
+        self.labels = q
+
+    def posterior(self, votes: np.ndarray, labels: np.ndarray | None = None) -> np.ndarray:
+        """How likely each text is toxic, by its votes and, if given, its label."""
         r = np.clip(self.rates, 1e-4, 1 - 1e-4)
         fires, silent = np.log(r[1] / r[0]), np.log((1 - r[1]) / (1 - r[0]))
         score = np.log(self.prior / (1 - self.prior)) + (votes * fires + (1 - votes) * silent) @ self.share
-        if known is not None:
-            score = score + np.log(known / (1 - known))
+        if labels is not None:
+            yes, no = np.log(self.said[1] / self.said[0]), np.log((1 - self.said[1]) / (1 - self.said[0]))
+            score = score + np.where(labels == 1, yes, np.where(labels == 0, no, 0))
         return 1 / (1 + np.exp(-np.clip(score, -30, 30)))
 
 
@@ -145,37 +151,46 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = SAMPLE_ROWS) -> Scorer:
     marks = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("y"))
     marks = sampled(marks.where(~held_out(3, 1)).withColumn("all", F.lit(0)), most, "all", "toxic", "doc_id").select("doc_id", "y")
     known = stored(rows.join(marks, "doc_id").withColumn("all", F.lit(0)), "labelled")
-    known = sampled(known, most, "all", "rows", "doc_id", "text").select("text", "y")  # where ids repeat
+    known = sampled(known, most, "all", "rows", "doc_id", "text")  # where ids repeat
+    known = known.select("text", "y", F.pmod(F.xxhash64("text"), F.lit(2)).cast("int").alias("fold"))
 
     def seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for text, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for text, y, fold in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 out = sorted(items(set(letters(text))))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(out, pa.string()), pa.array(np.full(len(out), y, np.int32))], names=["item", "y"]
+                    [pa.array(out, pa.string()), pa.array(np.full(len(out), y, np.int32)), pa.array(np.full(len(out), fold, np.int32))],
+                    names=["item", "y", "fold"],
                 )
 
-    sums = known.agg(F.count("*").alias("n"), F.sum("y").alias("pos")).first()
-    n, share = sums["n"], (sums["pos"] or 0) / max(1, sums["n"])
-    if not 0 < share < 1:
-        return Scorer({}, 4.0 if share else -4.0)
-    counts = known.mapInArrow(seen, "item string, y int").groupBy("item").agg(F.sum("y").alias("pos"), F.count("*").alias("n"))
-    far = (F.col("pos") - F.col("n") * share) / F.sqrt(F.col("n") * share * (1 - share))
-    found = counts.withColumn("far", far).where((F.col("n") >= LEAST) & (F.abs("far") >= FAR)).orderBy("item").collect()
-    names = [r["item"] for r in found]
-    place, voters = {x: i for i, x in enumerate(names)}, Voters([r["item"] for r in found if r["far"] > 0])
+    # of both folds together (2) and of each alone: a text's voters are learned from the other fold
+    sums = {r["fold"]: (r["n"], r["pos"]) for r in known.groupBy("fold").agg(F.count("*").alias("n"), F.sum("y").alias("pos")).collect()}
+    sums[2] = tuple(map(sum, zip(*sums.values(), strict=True))) if sums else (0, 0)
+    share = {f: pos / max(1, n) for f, (n, pos) in sums.items()}
+    if not 0 < share[2] < 1:
+        return Scorer({}, 4.0 if share[2] else -4.0)
+    each = [F.sum(F.when(F.col("fold") == f, x).otherwise(0)).alias(f"{a}{f}") for f in (0, 1) for a, x in (("n", F.lit(1)), ("pos", F.col("y")))]
+    counts = known.mapInArrow(seen, "item string, y int, fold int").groupBy("item").agg(*each)
+    counts = counts.withColumns({"n2": F.col("n0") + F.col("n1"), "pos2": F.col("pos0") + F.col("pos1")})
+    for f in (0, 1, 2):
+        spread = share.get(f, 0) * (1 - share.get(f, 0))
+        far = (F.col(f"pos{f}") - F.col(f"n{f}") * share.get(f, 0)) / F.sqrt(F.col(f"n{f}") * spread)
+        counts = counts.withColumn(f"far{f}", F.when(F.col(f"n{f}") >= LEAST, far if spread else F.lit(0.0)).otherwise(0.0))
+    found = counts.where(F.greatest(*[F.abs(f"far{f}") for f in (0, 1, 2)]) >= FAR).orderBy("item").collect()
+    names = [r["item"] for r in found if abs(r["far2"]) >= FAR]
+    place, voters = {x: i for i, x in enumerate(names)}, [Voters([r["item"] for r in found if r[f"far{1 - f}"] >= FAR]) for f in (0, 1)]
 
     def looked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(0).to_pylist()
-            votes = [voters.votes(t).tobytes() for t in texts]
+            votes = [voters[f].votes(t).tobytes() for t, f in zip(texts, batch.column(2).to_pylist(), strict=True)]
             own = [sorted(place[x] for x in items(set(letters(t))) & place.keys()) for t in texts]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(votes, pa.binary()), batch.column(1), pa.array(own, pa.list_(pa.int32()))], names=["v", "y", "items"]
             )
 
     got = known.mapInArrow(looked, "v binary, y int, items array<int>").orderBy("v", "y", "items").collect()
-    votes = np.frombuffer(b"".join(bytes(r["v"]) for r in got), np.int8).reshape(-1, voters.n).astype(float)
+    votes = np.frombuffer(b"".join(bytes(r["v"]) for r in got), np.int8).reshape(-1, voters[0].n).astype(float)
     posterior = LabelModel(votes, np.array([r["y"] for r in got])).labels
     row = np.repeat(np.arange(len(got)), [len(r["items"]) for r in got])
     item = np.array([x for r in got for x in r["items"]], np.int64)

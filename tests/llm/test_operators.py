@@ -191,6 +191,33 @@ def test_toxicity(spark, odd):
     assert toxicity.toxic_scores(odd, toxicity.fit(odd, none)).count() == 10
 
 
+def test_label_model_finds_planted_rates():
+    """Voters of known rates, two that are one, and a label that is wrong one time in ten."""
+    rng = np.random.default_rng(6)
+    true = rng.random(6000) < 0.15
+    rates = np.array([[0.02, 0.7], [0.05, 0.6], [0.01, 0.4], [0.1, 0.5]])
+    votes = (rng.random((6000, 4)) < rates[:, true.astype(int)].T).astype(float)
+    votes = np.column_stack([votes, votes[:, 0], np.zeros(6000)])  # a copy of the first, and a voter that never fires
+    labels = np.where(rng.random(6000) < 0.1, ~true, true).astype(int)
+    labels[rng.random(6000) < 0.5] = -1
+    model = toxicity.LabelModel(votes, labels)
+    assert np.abs(model.rates[:, :4].T - rates).max() < 0.08 and abs(model.prior - 0.15) < 0.04
+    assert abs(model.said[1] - 0.9) < 0.06 and abs(model.said[0] - 0.1) < 0.06  # the label's own rates are found
+    assert model.correlation[0, 4] > 0.9 and model.share[0] < 0.6 < model.share[2]
+    known = labels >= 0
+    wrong = (labels[known] == 1) != true[known]
+    fixed = (model.labels[known] > 0.5) == true[known]
+    assert fixed.mean() > 0.93 > 1 - wrong.mean() and fixed[wrong].mean() > 0.4
+    assert ((model.posterior(votes) > 0.5) == true).mean() > 0.9
+
+
+def test_patterns_need_no_lexicon_word():
+    voters = toxicity.Voters(["achli-"])
+    for text in ("nobody likes you, go away and drop dead", "shut up and get lost", "AchlichE"):
+        assert voters.votes(text).any() and not voters.votes(text)[-1] and not voters.votes(text)[: len(toxicity.LEXICON)].any()
+    assert voters.votes("a calm text")[-1] == 1
+
+
 def plain_units(text, size=25, least=20):
     """The units of operator 9 as its docstring has them, step by step: each as
     (start, end, what it is)."""
