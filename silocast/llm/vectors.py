@@ -31,8 +31,8 @@ SHARD_ROWS, BLOCK_ROWS, CENTRES, SLACK, OVERLAP = 1000, 1500, 4096, 0.1, 4
 #: links a node keeps in a shard, candidates for them, links to far nodes, expansions before the range, medoids;
 #: links of this similarity or more lead out of a shard: longer ones cannot end at a partner
 DEGREE, CANDIDATES, FAR, STEPS, MEDOIDS, ALPHA, OUT = 16, 32, 4, 4, 16, 1.2, 0.8
-#: queries of the audit (about), recall that it asks for
-AUDIT_ROWS, RECALL = 200, 0.95
+#: queries of the audit (about), recall below which shards overlap more, and below which there is no result
+AUDIT_ROWS, RECALL, LOWEST = 200, 0.95, 0.9
 
 
 def unit_vectors(rows: DataFrame) -> DataFrame:
@@ -190,7 +190,8 @@ def near_vectors(rows: DataFrame, low: float = 0.95, sample_rows: int = 65_536)
     never link. Repeated rows link with each other; a null vec_id counts as a
     link and is a component_id only where there is no other. Empty input gives
     an empty result; other columns are ignored. Centres are fitted on about
-    ``sample_rows`` rows at most; all rows are indexed and searched.
+    ``sample_rows`` rows at most; all rows are indexed and searched. A recall that
+    stays below ``LOWEST`` is an error.
     """
     unit = stored(unit_vectors(rows), "unit")
     classes = unit.where("vec is not null").groupBy("vec").agg(F.count("*").alias("copies"), F.min("vec_id").alias("least"))
@@ -203,8 +204,10 @@ def near_vectors(rows: DataFrame, low: float = 0.95, sample_rows: int = 65_536)
     while True:
         out = stored(_linked(named, classes, centres, slack, low), "vectors")
         recall = audited_recall(named, out, low, total)
-        if recall >= RECALL or slack > 0.5:
+        if recall >= RECALL or slack > 0.5 and recall >= LOWEST:
             return out.withColumn("recall", F.lit(float(recall)))
+        if slack > 0.5:
+            raise RuntimeError(f"the audit found a recall of {recall:.3f}, even with shards that overlap by {slack}; {LOWEST} is asked for")
         discard(out)
         slack *= 2
 
