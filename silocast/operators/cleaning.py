@@ -83,9 +83,8 @@ def fill_numeric(df: DataFrame, columns: list[str], how: str = "mean") -> DataFr
     if how == "median":
         values = stored(df.select(*columns), "median")  # read again by each pass
         return df.withColumns({c: F.coalesce(c, F.lit(exact_median(values, c))) for c in columns})
-    fills = df.agg(*[F.avg(c).alias(f"_fill_{c}") for c in columns])
-    joined = df.crossJoin(F.broadcast(fills))  # one row
-    return joined.withColumns({c: F.coalesce(c, f"_fill_{c}") for c in columns}).drop(*fills.columns)
+    means = df.agg(*[F.avg(c) for c in columns]).first()
+    return df.withColumns({c: F.coalesce(c, F.lit(m).cast("double")) for c, m in zip(columns, means, strict=True)})
 
 
 def fill_mode(df: DataFrame, columns: list[str]) -> DataFrame:

@@ -39,47 +39,48 @@ def _joined(rows: DataFrame, parts: DataFrame, by: list[str]) -> DataFrame:
     return rows.join(parts, on).drop("_of", *[f"_by_{c}" for c in by])
 
 
-def _indexed(rows: DataFrame, by: list[str], name: str) -> DataFrame:
-    parts = rows.groupBy(*by, "_range").agg(F.count("*").alias("_n"), F.min("_at").alias("_low"))
+def _counted(rows: DataFrame, by: list[str], *more: Column) -> DataFrame:
+    """One row per group and range: its rows (_n), its lowest _at (_low), the
+    rows of the group before it (_first) and ``more`` aggregates."""
+    parts = rows.groupBy(*by, "_range").agg(F.count("*").alias("_n"), F.min("_at").alias("_low"), *more)
     before = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    parts = parts.withColumn("_first", F.coalesce(F.sum("_n").over(before), F.lit(0)))
-    return _joined(rows, parts.drop("_n"), by).withColumn(name, F.col("_first") + F.col("_at") - F.col("_low")).drop("_first", "_low")
+    return parts.withColumn("_first", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
 
 
 def with_row_index(df: DataFrame, order: list[str], by: list[str] = (), name: str = "row_index") -> DataFrame:
     """``df`` with each row's gapless number from 0 along ``order`` within
     ``by``; nulls come first. Runs the jobs that store the ranges."""
-    return _indexed(in_ranges(df, order, by), list(by), name).drop("_range", "_at")
+    rows, by = in_ranges(df, order, by), list(by)
+    rows = _joined(rows, _counted(rows, by), by)
+    return rows.withColumn(name, F.col("_first") + F.col("_at") - F.col("_low")).drop("_range", "_at", "_first", "_low")
 
 
 def with_neighbours(df: DataFrame, columns: list[str], by: list[str], order: list[str]) -> DataFrame:
     """``df`` with ``_i``, the row's number within ``by``, and for every column
     c the structs ``_prev_c`` and ``_next_c`` (i, v): number and value of the
     nearest row at or before, at or after this one that has a value."""
-    by = list(by)
-    rows = _indexed(in_ranges(df, order, by), by, "_i")
-    pair = {c: F.when(F.col(c).isNotNull(), F.struct(F.col("_i").alias("i"), F.col(c).alias("v"))) for c in columns}
-    ends = rows.groupBy(*by, "_range").agg(
-        *[F.max_by(pair[c], F.when(F.col(c).isNotNull(), F.col("_i"))).alias(f"_last_{c}") for c in columns],
-        *[F.min_by(pair[c], F.when(F.col(c).isNotNull(), F.col("_i"))).alias(f"_first_{c}") for c in columns],
-    )
+    rows, by = in_ranges(df, order, by), list(by)
+    at = {c: F.when(F.col(c).isNotNull(), F.col("_at")) for c in columns}
+    ends = [f(F.struct(F.col("_at").alias("i"), F.col(c).alias("v")), at[c]).alias(f"_{k}_{c}") for k, f in (("last", F.max_by), ("head", F.min_by)) for c in columns]
+    parts = _counted(rows, by, *ends)
+    number = lambda i: F.col("_first") + i - F.col("_low")
+    for c in (f"_{k}_{c}" for k in ("last", "head") for c in columns):  # places become numbers within the group
+        parts = parts.withColumn(c, F.when(F.col(c).isNotNull(), F.struct(number(F.col(c)["i"]).alias("i"), F.col(c)["v"].alias("v"))))
     past = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     ahead = Window.partitionBy(*by).orderBy(F.desc("_range")).rowsBetween(Window.unboundedPreceding, -1)
-    ends = ends.select(
-        *by, "_range",
+    parts = parts.select(
+        *by, "_range", "_low", "_first",
         *[F.last(f"_last_{c}", True).over(past).alias(f"_last_{c}") for c in columns],
-        *[F.last(f"_first_{c}", True).over(ahead).alias(f"_first_{c}") for c in columns],
+        *[F.last(f"_head_{c}", True).over(ahead).alias(f"_head_{c}") for c in columns],
     )
+    rows = _joined(rows, parts, by).withColumn("_i", number(F.col("_at")))
+    pair = {c: F.when(F.col(c).isNotNull(), F.struct(F.col("_i").alias("i"), F.col(c).alias("v"))) for c in columns}
     within = Window.partitionBy(*by, "_range")
     up = within.orderBy("_i").rowsBetween(Window.unboundedPreceding, 0)
     down = within.orderBy(F.desc("_i")).rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumns({f"_up_{c}": F.last(pair[c], True).over(up) for c in columns})
-    rows = rows.withColumns({f"_down_{c}": F.last(pair[c], True).over(down) for c in columns})
-    rows = _joined(rows, ends, by).withColumns(
-        {f"_prev_{c}": F.coalesce(f"_up_{c}", f"_last_{c}") for c in columns}
-        | {f"_next_{c}": F.coalesce(f"_down_{c}", f"_first_{c}") for c in columns}
-    )
-    return rows.drop("_range", "_at", *[f"_{k}_{c}" for k in ("up", "down", "last", "first") for c in columns])
+    rows = rows.withColumns({f"_prev_{c}": F.coalesce(F.last(pair[c], True).over(up), f"_last_{c}") for c in columns})
+    rows = rows.withColumns({f"_next_{c}": F.coalesce(F.last(pair[c], True).over(down), f"_head_{c}") for c in columns})
+    return rows.drop("_range", "_at", "_low", "_first", *[f"_{k}_{c}" for k in ("last", "head") for c in columns])
 
 
 def assign_folds(df: DataFrame, order: list[str], n_splits: int = 5) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 #: rows up to which a side of a join is broadcast
@@ -40,5 +40,6 @@ def stored(df: DataFrame, name: str = "frame") -> DataFrame:
 
 def sized(df: DataFrame, name: str = "small", most: int = BROADCAST_ROWS) -> DataFrame:
     """``df``, stored, and marked for broadcast if it has ``most`` rows at most."""
-    out = stored(df, name)
-    return F.broadcast(out) if out.count() <= most else out
+    seen = Observation()
+    out = stored(df.observe(seen, F.count("*").alias("n")), name)
+    return F.broadcast(out) if seen.get["n"] <= most else out
