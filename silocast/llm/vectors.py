@@ -1,7 +1,8 @@
 """Embedding near-duplicates by a robust-pruned flat graph (operator 10).
 
 Equal vectors are one class. Classes are dealt to overlapping cluster shards:
-to each centre that is nearly as near as the nearest. Every shard builds a
+to each centre that is nearly as near as the nearest. A shard that is still
+large is dealt again, to centres of its own, level by level. Every shard builds a
 robust-pruned neighbour graph, and the adjacency lists of all shards are
 united. In each shard, over the united lists, a greedy search from medoids
 looks for the partners of every class and expands all nodes in range; the
@@ -10,7 +11,8 @@ pair found is verified in double precision. A pair whose ends share a shard
 counts in the first shard they share, any other as a row of its own, so each
 counts once. Tasks return sums and a spanning forest. The recall is audited
 against exact cosines; where it is low, shards overlap more. A shard above the
-block size is dealt as pairs of blocks, so none outgrows a task.
+block size that no level divides (it is one dense cluster) is dealt as pairs of
+blocks, so none outgrows a task.
 """
 
 from __future__ import annotations
@@ -28,6 +30,9 @@ from .simhash import Forest
 
 #: rows of a shard (about), of a block; centres; how much less near a further centre may be, and how many there may be
 SHARD_ROWS, BLOCK_ROWS, CENTRES, SLACK, OVERLAP = 1000, 1500, 4096, 0.1, 4
+#: rows above which a shard is dealt again, centres that it gets at most, levels of such deals: so the
+#: number of shards does not end where that of the first centres does
+SPLIT_ROWS, SUB_CENTRES, LEVELS = 12_000, 256, 3
 #: links a node keeps in a shard, candidates for them, links to far nodes, expansions before the range, medoids;
 #: links of this similarity or more lead out of a shard: longer ones cannot end at a partner
 DEGREE, CANDIDATES, FAR, STEPS, MEDOIDS, ALPHA, OUT = 16, 32, 4, 4, 16, 1.2, 0.8
@@ -134,7 +139,11 @@ def _centres(classes: DataFrame, n: int, most: int) -> np.ndarray:
         dims.setdefault(len(r["vec"]), []).append(np.frombuffer(r["vec"]))
     if not dims:
         return np.zeros((1, 1))
-    x = np.array(max(dims.values(), key=len))
+    return _means(np.array(max(dims.values(), key=len)), k)
+
+
+def _means(x: np.ndarray, k: int) -> np.ndarray:
+    """``k`` means of ``x`` at most, by spherical k-means, without those near to another."""
     c = x[np.linspace(0, len(x) - 1, min(k, len(x))).astype(int)]
     for _ in range(6):
         at = (x @ c.T).argmax(axis=1)
@@ -149,6 +158,62 @@ def _centres(classes: DataFrame, n: int, most: int) -> np.ndarray:
     return c[kept]
 
 
+def _nearest(x: np.ndarray, c: np.ndarray, slack: float, most: int) -> list[list[int]]:
+    """For each row of ``x`` the centres nearly as near as the nearest."""
+    s = x @ c.T
+    top = np.argsort(-s, axis=1, kind="stable")[:, :most]
+    ok = np.take_along_axis(s, top, 1) >= s.max(axis=1, keepdims=True) - slack
+    return [np.sort(t[o]).tolist() for t, o in zip(top, ok)]
+
+
+def _split(members: DataFrame, slack: float, most: int) -> DataFrame:
+    """``members`` (node, vec, copies, shards) with the rows of shards above
+    ``SPLIT_ROWS`` dealt to centres fitted in that shard, up to ``LEVELS``
+    times. Each fit sees a hash sample of about 16 rows a centre; the deal is
+    salted, so neither grows with the shard. A shard with one centre stays."""
+
+    def fitted(key: tuple, group: pa.Table) -> pa.Table:
+        group = group.sort_by("node")
+        c = _means(np.frombuffer(b"".join(group.column("vec").to_pylist())).reshape(group.num_rows, -1), group.column("k")[0].as_py())
+        return pa.table({"shard": [key[0].as_py()], "parts": [group.column("parts")[0].as_py()], "n": [len(c)], "centres": [c.tobytes()]}, schema=fit_schema)
+
+    def dealt(key: tuple, group: pa.Table, own: pa.Table) -> pa.Table:
+        shard, n = key[0].as_py(), group.num_rows
+        if not n or not own.num_rows:
+            return pa.table({"node": group.column("node"), "shard": pa.array([shard] * n, pa.int64())})
+        c = np.frombuffer(own.column("centres")[0].as_py()).reshape(own.column("n")[0].as_py(), -1)
+        node, to = [], []
+        for at in range(0, n, 1024):
+            part = group.slice(at, 1024)
+            x = np.frombuffer(b"".join(part.column("vec").to_pylist())).reshape(part.num_rows, -1)
+            for v, near in zip(part.column("node").to_pylist(), _nearest(x, c, slack, most)):
+                node += [v] * len(near)
+                to += [(shard + 1) * 4096 + j for j in near]
+        return pa.table({"node": pa.array(node, pa.int64()), "shard": pa.array(to, pa.int64())})
+
+    fit_schema = pa.schema([("shard", pa.int64()), ("parts", pa.int32()), ("n", pa.int32()), ("centres", pa.binary())])
+    for level in range(LEVELS):
+        each = members.select("node", "vec", F.explode("shards").alias("shard"))
+        large = each.groupBy("shard").agg(F.count("*").alias("size")).where((F.col("size") > SPLIT_ROWS) & (F.col("shard") >= 0))
+        large = stored(large.select("shard", "size", F.ceil(F.col("size") / SPLIT_ROWS).cast("int").alias("parts")), "large")
+        if large.isEmpty():
+            break
+        k = F.least(F.lit(SUB_CENTRES), F.floor(F.col("size") / SHARD_ROWS)).cast("int")
+        picked = each.join(large, "shard").withColumn("k", k).where(chance(f"level {level}", "node") * F.col("size") < 16 * F.col("k"))
+        centres = picked.groupBy("shard").applyInArrow(fitted, "shard long, parts int, n int, centres binary").where("n > 1")
+        centres = stored(centres, "centres")
+        if centres.isEmpty():
+            break
+        each = each.join(centres.select("shard", "parts"), "shard", "left")
+        rows = each.where("parts is not null").withColumn("part", F.pmod(F.xxhash64(F.lit(level), "node"), F.col("parts")).cast("int"))
+        own = centres.select("shard", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "n", "centres")
+        moved = rows.select("shard", "part", "node", "vec").groupBy("shard", "part").cogroup(own.groupBy("shard", "part"))
+        moved = moved.applyInArrow(dealt, "node long, shard long").union(each.where("parts is null").select("node", "shard"))
+        of = moved.groupBy(F.col("node").alias("of")).agg(F.sort_array(F.collect_set("shard")).alias("shards"))
+        members = stored(members.drop("shards").join(of, F.col("node") == F.col("of")).select("node", "vec", "copies", "shards"), "members")
+    return members
+
+
 def audited_recall(rows: DataFrame, out: DataFrame, low: float, n: int) -> float:
     """Share of the exact links of a hash sample of about ``AUDIT_ROWS`` rows
     (vec_id, vec) that ``out`` counts; all rows are compared, in blocks."""
@@ -229,15 +294,12 @@ def _linked(named: DataFrame, classes: DataFrame, centres: np.ndarray, slack: fl
                 near = [[-len(v)] for v in vecs]  # vectors of another length: a shard of their own
                 own = [i for i, v in enumerate(vecs) if len(v) == 8 * c.shape[1]]
                 if own:
-                    s = np.frombuffer(b"".join(vecs[i] for i in own)).reshape(len(own), -1) @ c.T
-                    top = np.argsort(-s, axis=1, kind="stable")[:, :most]
-                    ok = np.take_along_axis(s, top, 1) >= s.max(axis=1, keepdims=True) - slack
-                    for i, t, o in zip(own, top, ok):
-                        near[i] = np.sort(t[o]).tolist()
+                    for i, to in zip(own, _nearest(np.frombuffer(b"".join(vecs[i] for i in own)).reshape(len(own), -1), c, slack, most)):
+                        near[i] = to
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(near, pa.list_(pa.int64()))], names=["node", "vec", "copies", "shards"])
 
     members = classes.select("node", "vec", "copies").mapInArrow(dealt, "node long, vec binary, copies long, shards array<long>")
-    members = stored(members, "members")
+    members = _split(stored(members, "members"), slack, most)
     each = members.withColumn("shard", F.explode("shards"))
     sizes = each.groupBy("shard").agg(F.ceil(F.count("*") / F.lit(BLOCK_ROWS)).cast("int").alias("blocks"))
     # a block pair (i, j) is a task; row of block i goes to (0..i, i) and (i, i..)

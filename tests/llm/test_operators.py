@@ -358,6 +358,27 @@ def test_links_over_many_shards(spark, monkeypatch):
     assert all((r.n_links > 0) == (size[r.component_id] > 1) for r in got.values())
 
 
+def test_small_clusters_over_levels_of_shards(spark, monkeypatch):
+    """Two first centres, shards dealt again below them: every link of small clusters is found."""
+    for name, value in {"SHARD_ROWS": 100, "BLOCK_ROWS": 150, "CENTRES": 2, "SPLIT_ROWS": 300, "SUB_CENTRES": 3}.items():
+        monkeypatch.setattr(vectors, name, value)
+    taken = []
+    split = vectors._split
+    monkeypatch.setattr(vectors, "_split", lambda *a: taken.append(split(*a)) or taken[-1])
+    rng = np.random.default_rng(7)
+    base = rng.normal(size=(400, 32))
+    x = np.repeat(base / np.linalg.norm(base, axis=1)[:, None], 4, axis=0) + 0.15 / np.sqrt(32) * rng.normal(size=(1600, 32))
+    df = spark.createDataFrame([(i, [float(c) for c in v]) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    y = x / np.linalg.norm(x, axis=1)[:, None]
+    true = (y @ y.T >= 0.95).sum(axis=1) - 1
+    got = {r.vec_id: r for r in vectors.near_vectors(df).collect()}
+    found = np.array([got[i].n_links for i in range(len(x))])
+    assert (found <= true).all() and found.sum() >= 0.99 * true.sum()
+    assert len({r.component_id for r in got.values()}) <= 402
+    assert taken[0].select(F.explode("shards").alias("s")).where("s >= 4096").distinct().count() > 3
+    assert taken[0].count() == len(x)
+
+
 def test_langid_scores_whole_words():
     """What follows the first 64 letters of a run counts; numbers are no letters."""
     model = langid.Model({"a": collections.Counter({"xyxy": 5}), "b": collections.Counter({"uvuv": 5})})
