@@ -1,47 +1,65 @@
 """Shards of near-equal bytes by minimax contiguous partition (operator 2).
 
 Atomic groups (equal texts) are ordered by size, largest first, then digest.
-In that order a table of (group size, number of groups) holds all that the
-search needs: it has at most sqrt(2 * total bytes) rows. The smallest feasible
-capacity is found by binary search with a greedy check; the groups at which
-the shards begin are then looked up, and every row finds its shard by
-comparing its group with these.
+In that order a table of (range of sizes, number of groups, bytes) is all that
+the search begins with: ranges are 1/256 of a size wide, so there are some
+thousands whatever the table holds. The smallest feasible capacity is found by
+binary search with a greedy check. Ranges into which a cut of that search fell
+are then read size by size and the search is run again, until it has met none
+that is not read: then its cuts are exact. The groups at which the shards
+begin are looked up, and every row finds its shard by comparing its group with
+these.
 """
 
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import ranked, stored, table
 
 
 class Runs:
-    """Ordered groups as runs of equal sizes, with prefix sums."""
+    """Ordered groups as runs, with prefix sums. A run holds groups of one size,
+    or a range of sizes of which ``sums`` gives the bytes and ``least`` the
+    smallest; ``sizes`` are the largest. Inside a range the sums are estimated
+    by its mean, and the run is noted in ``open``."""
 
-    def __init__(self, sizes: list[int], counts: list[int]):
+    def __init__(self, sizes: list[int], counts: list[int], sums: list[int] | None = None, least: list[int] | None = None):
         self.size, self.count = np.array(sizes, np.int64), np.array(counts, np.int64)
+        sums = self.size * self.count if sums is None else np.array(sums, np.int64)
+        self.range = np.zeros(len(sizes), bool) if least is None else np.array(least, np.int64) < self.size
         self.ends = np.concatenate([[0], np.cumsum(self.count)])
-        self.bytes = np.concatenate([[0], np.cumsum(self.size * self.count)])
+        self.bytes = np.concatenate([[0], np.cumsum(sums)])
         self.n, self.total = int(self.ends[-1]), int(self.bytes[-1])
+        self.open: set[int] = set()
 
     def run_of(self, group: int) -> int:
         return int(np.searchsorted(self.ends, group, side="right")) - 1
 
+    def _estimate(self, i: int) -> int:
+        """The size of a group of run ``i``."""
+        if self.range[i]:
+            self.open.add(i)
+            return int(self.bytes[i + 1] - self.bytes[i]) // int(self.count[i])
+        return int(self.size[i])
+
     def before(self, group: int) -> int:
         """Bytes of all groups before ``group``."""
         if group >= self.n:
             return self.total
         i = self.run_of(group)
-        return int(self.bytes[i] + (group - self.ends[i]) * self.size[i])
+        inside = group - int(self.ends[i])
+        return int(self.bytes[i]) + (inside * self._estimate(i) if inside else 0)
 
     def within(self, size: int) -> int:
         """The most groups that ``size`` bytes hold, from the first on."""
         if size >= self.total:
             return self.n
         i = int(np.searchsorted(self.bytes, size, side="right")) - 1
-        return int(self.ends[i] + (size - self.bytes[i]) // self.size[i])
+        left = size - int(self.bytes[i])
+        return int(self.ends[i]) + (min(left // self._estimate(i), int(self.count[i]) - 1) if left else 0)
 
 
 def shard_starts(runs: Runs, shards: int) -> list[int]:
@@ -86,6 +104,31 @@ def shard_starts(runs: Runs, shards: int) -> list[int]:
     return starts
 
 
+def size_range(size: str) -> Column:
+    """The smallest size of the range that ``size`` is in: its nine leading bits."""
+    low = F.greatest(F.length(F.bin(size)) - 9, F.lit(0))
+    return F.call_function("shiftleft", F.call_function("shiftright", F.col(size), low), low)
+
+
+def exact_starts(groups: DataFrame, shards: int) -> tuple[Runs, list[int]]:
+    """The runs of ``groups`` (group_size, range) and the first groups of shard
+    1, 2, ... Ranges are read size by size only where the search meets them."""
+
+    def runs_of(rows: DataFrame, *by: str) -> list:
+        found = F.max("group_size"), F.count("*"), F.sum("group_size"), F.min("group_size"), F.first("range")
+        return [tuple(r)[len(by) :] for r in rows.groupBy(*by).agg(*found).collect()]
+
+    known = sorted(runs_of(groups, "range"), reverse=True)
+    while True:
+        runs = Runs(*([r[j] for r in known] for j in range(4)))
+        starts = shard_starts(runs, shards)
+        if not runs.open:
+            return runs, starts
+        wanted = [known[i][4] for i in sorted(runs.open)]
+        known = [r for i, r in enumerate(known) if i not in runs.open]
+        known = sorted(known + runs_of(groups.where(F.col("range").isin(wanted)), "range", "group_size"), reverse=True)
+
+
 def minimax_shards(docs: DataFrame, shards: int = 16) -> DataFrame:
     """(doc_id, size, text_crc32, law, shard, slot, grown_shard) per row.
 
@@ -104,9 +147,7 @@ def minimax_shards(docs: DataFrame, shards: int = 16) -> DataFrame:
     )
     rows = stored(rows, "sizes")
     groups = stored(rows.groupBy("digest").agg(F.sum("size").alias("group_size")), "groups")
-    runs = groups.groupBy("group_size").count().orderBy(F.desc("group_size")).collect()
-    runs = Runs([r["group_size"] for r in runs], [r["count"] for r in runs])
-    starts = shard_starts(runs, shards)
+    runs, starts = exact_starts(groups.select("group_size", size_range("group_size").alias("range")), shards)
     wanted: dict[int, set[int]] = {}
     for g in starts:
         if g < runs.n and (i := runs.run_of(g)) is not None and g > runs.ends[i]:

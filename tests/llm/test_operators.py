@@ -73,6 +73,22 @@ def test_smallest_capacity_by_brute_force():
             assert got == min(max(sum(sizes[:a]), sum(sizes[a:b]), sum(sizes[b:])) for a in range(13) for b in range(a, 13))
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_ranges_of_sizes_give_the_same_cuts(spark, seed):
+    """Sizes read range by range against all sizes at once."""
+    rng = np.random.default_rng(seed)
+    sizes = np.concatenate([rng.lognormal(7, 1.5, 3000).astype(int) + 1, [1] * 40, rng.integers(10**5, 10**6, 5 * seed)]).tolist()
+    groups = spark.createDataFrame([(int(x),) for x in sizes], "group_size long")
+    groups = groups.withColumn("range", sharding.size_range("group_size"))
+    assert all(r["range"] <= r.group_size < r["range"] * 129 // 128 + 1 for r in groups.collect())
+    all_sizes = sorted(collections.Counter(sizes).items(), reverse=True)
+    whole = sharding.Runs([s for s, _ in all_sizes], [c for _, c in all_sizes])
+    for shards in (1, 7, 16):
+        runs, starts = sharding.exact_starts(groups, shards)
+        assert starts == sharding.shard_starts(whole, shards)
+        assert [runs.before(g) for g in starts] == [whole.before(g) for g in starts] and len(runs.size) <= len(whole.size)
+
+
 def test_packing_round_trip(spark, odd):
     from tokenizers import Tokenizer
 
