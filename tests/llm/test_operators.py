@@ -89,6 +89,16 @@ def test_ranges_of_sizes_give_the_same_cuts(spark, seed):
         assert [runs.before(g) for g in starts] == [whole.before(g) for g in starts] and len(runs.size) <= len(whole.size)
 
 
+def test_plain_words_go_to_the_model():
+    """Lower-case letters and marks after them take the short way, with the ids of the long one."""
+    words = packing.WordIds(packing.public_tokenizers.path("word_bpe_49k.json"))
+    tok, seen = words.tok, []
+    words._encoded = lambda rest: seen.extend(rest) or [tok.encode(w, add_special_tokens=False).ids for w in rest]
+    text = "The übergrößen, élève### of ªº niño's a.b x2 <|endoftext|> word<|endoftext|> é<| ĳsƀ. ſt. \u0301e tİ. \u0301\U0001f600"
+    assert next(words.texts([text])).tolist() == [*tok.encode(text, add_special_tokens=False).ids, 2]
+    assert not {"übergrößen,", "élève###", "of", "ªº", "é<|", "ĳsƀ", "ĳsƀ."} & set(seen) and {"niño's", "a.b", "<|endoftext|>"} <= set(seen)
+
+
 def test_packing_round_trip(spark, odd):
     from tokenizers import Tokenizer
 
