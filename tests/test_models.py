@@ -4,6 +4,7 @@ import datetime
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from silocast.operators import forecast as fc
 from silocast.operators import models as md
@@ -56,6 +57,22 @@ def test_folds_train_on_the_past(learnable):
     assert got == {f: 1200 // 5 for f in range(1, 5)}
 
 
+def test_a_task_holds_few_rows(learnable, monkeypatch):
+    """A learner gets its rows in even partitions, whatever files they come from."""
+    seen = []
+
+    class Learner:
+        def fit(self, rows):
+            seen.append([r["count"] for r in rows.groupBy(F.spark_partition_id()).count().collect()])
+
+    monkeypatch.setattr(md, "TASK_ROWS", 100)
+    monkeypatch.setattr(md, "regressor", lambda *a, **k: Learner())
+    for keep in (["row_index"], []):
+        design = md._design(md.with_row_index(learnable, ["detection_time"]).coalesce(1), keep)
+        design.fit(design.data, "lgbm", 1, {})
+    assert all(sum(x) == 1200 and max(x) <= 150 for x in seen), seen
+
+
 def test_forecast_and_unknown_kind(learnable):
     out = md.forecast(md.train(learnable, "rf", n_trees=3, future_safe=True), learnable, 4)
     assert out.count() == 4 * learnable.select("heap_id", "grid_x").distinct().count() and out.where("predicted_temp is null").count() == 0
