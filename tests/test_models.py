@@ -73,6 +73,29 @@ def test_a_task_holds_few_rows(learnable, monkeypatch):
     assert all(sum(x) == 1200 and max(x) <= 150 for x in seen), seen
 
 
+def test_boosting_without_a_stop_sorts_nothing(learnable, monkeypatch):
+    """Only rows that are set apart by time need their place in it."""
+    sorted_ = []
+    index = md.with_row_index
+    monkeypatch.setattr(md, "with_row_index", lambda *a, **k: sorted_.append(a) or index(*a, **k))
+    md.train(learnable, "lgbm", n_trees=1, maxDepth=2, measure=False)
+    assert not sorted_
+    md.train(learnable, "lgbm", n_trees=1, maxDepth=2, measure=False, early_stop=True)
+    assert len(sorted_) == 1
+
+
+def test_metrics_are_those_of_the_whole_frame(learnable):
+    """Leaving out rows without prediction or temperature changes no metric."""
+    rows = learnable.where("dayofmonth(detection_time) % 7 <> 0")
+    train, held = fc.split(rows)
+    model = md.train(train, "lgbm", n_trees=2, maxDepth=3, measure=False)
+    whole = fc.overall_metrics(fc.evaluated_with_gaps(train, held, md.predictor(model))).first()
+    got = md.evaluate({"m": model}, rows).drop("model").first()
+    assert all(a == b or abs(a - b) < 1e-9 for a, b in zip(got, whole, strict=True)) and got.n == whole.n > 0
+    few = md.evaluate({"m": model}, rows, horizon=99).collect()  # no day is held out
+    assert [(r.model, r.n, r.mae) for r in few] == [("m", 0, None)]
+
+
 def test_forecast_and_unknown_kind(learnable):
     out = md.forecast(md.train(learnable, "rf", n_trees=3, future_safe=True), learnable, 4)
     assert out.count() == 4 * learnable.select("heap_id", "grid_x").distinct().count() and out.where("predicted_temp is null").count() == 0
