@@ -1,6 +1,7 @@
 """Models on a small learnable frame, and the registered model queries."""
 
 import datetime
+import threading
 
 import numpy as np
 import pytest
@@ -57,6 +58,41 @@ def test_folds_train_on_the_past(learnable):
     assert got == {f: 1200 // 5 for f in range(1, 5)}
 
 
+def test_cross_validation_metrics_boost_all_trees(spark, monkeypatch):
+    """The query asks for the operator's own number of trees, in each fold and for all rows."""
+    asked, make = [], md.regressor
+
+    def few(algo, n_trees, **params):
+        asked.append((algo, n_trees, params))
+        return make(algo, 2, maxDepth=2)
+
+    monkeypatch.setattr(md, "regressor", few)
+    got = catalog.QUERIES["time_series_cv_metrics"](spark, SF).first()
+    assert asked == [("gb", 300, {})] * (md.SPLITS + 1) and (got.n, got.trees) == (830, 2)
+
+
+def test_large_fits_run_one_by_one(learnable, monkeypatch):
+    """Fits with tasks enough for all cores are not held in memory side by side."""
+    lock, now, seen, make = threading.Lock(), [0], [], md.regressor
+
+    class Learner:
+        def fit(self, rows):
+            with lock:
+                now[0] += 1
+                seen.append((rows.count(), now[0]))
+            try:
+                return make("gb", 1, maxDepth=1).fit(rows)
+            finally:
+                with lock:
+                    now[0] -= 1
+
+    monkeypatch.setattr(md, "TASK_ROWS", 100)
+    monkeypatch.setattr(md, "CORE_TASKS", 1)
+    monkeypatch.setattr(md, "regressor", lambda *a, **k: Learner())
+    md.time_series_cv(learnable, "gb", 1, n_splits=2)
+    assert seen == [(1200, 1), (800, 1), (400, 1)]
+
+
 def test_a_task_holds_few_rows(learnable, monkeypatch):
     """A learner gets its rows in even partitions, whatever files they come from."""
     seen = []
